@@ -17,7 +17,7 @@ from docloom.plans.tables import materialize
 
 def _hang(neighbours: DataFrame, *, larger: bool) -> DataFrame:
     """One star operation over rows (u, v): v is a neighbour of u."""
-    least = neighbours.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = neighbours.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = neighbours.join(least, "u")
     if larger:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
