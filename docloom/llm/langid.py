@@ -20,12 +20,14 @@ import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.llm.arrow import add_columns
 
 #: Bounds of the training sample: languages, rows per language, characters per language (tables have twice as many states).
 MAX_LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 64, 16_000
@@ -203,25 +205,12 @@ def identify_languages(docs: DataFrame, samples: dict[str, str], text: str = "te
     character. Columns of these names are replaced.
     """
     learned = tuple(sorted(samples.items()))
-    docs = docs.drop("lang_pred", "score", "lang_bits")
-    kept = docs.schema
-    out = kept.jsonValue()
-    fields = [f'`{f.name}` {f.dataType.simpleString()}' for f in kept.fields]
-    schema = ", ".join([*fields, "lang_pred string", "score double", "lang_bits double"])
-    del out
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = judge(batch.column(batch.schema.get_field_index(text)).to_pylist(), learned)
-            arrays = [
-                *batch.columns,
-                pa.array([g[0] for g in got], pa.string()),
-                pa.array([g[1] for g in got], pa.float64()),
-                pa.array([g[2] for g in got], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "lang_pred", "score", "lang_bits"])
-
-    return docs.mapInArrow(parse, schema)
+    added = {
+        "lang_pred": (T.StringType(), pa.string()),
+        "score": (T.DoubleType(), pa.float64()),
+        "lang_bits": (T.DoubleType(), pa.float64()),
+    }
+    return add_columns(docs, [text], added, lambda texts: list(zip(*judge(texts, learned), strict=True)) or [[], [], []])
 
 
 def held_out(doc_id: str = "doc_id"):
