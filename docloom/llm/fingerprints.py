@@ -27,6 +27,10 @@ PAIR = (1 << 32) | 1
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _and(x: Column, bits: int) -> Column:
+    return x.bitwiseAND(F.lit(bits))
+
+
 def paragraphs(text: Column) -> Column:
     """Lines, each with its end kept apart; the empty text has none."""
     return F.when(F.length(text) > 0, F.split(text, "\n")).otherwise(F.expr("cast(array() as array<string>)"))
@@ -61,12 +65,12 @@ def fingerprint_columns(text: Column) -> Column:
 
     def whole(acc: Column, line: Column) -> Column:
         hashes = [F.xxhash64(F.lit(seed), line) for seed in range(EXACT // 2)]
-        halves = [h for x in hashes for h in (F.bitwise_and(x, MASK), F.shiftrightunsigned(x, 32))]
-        return F.struct(*(F.bitwise_and(acc[f"v{k}"] + h, MASK).alias(f"v{k}") for k, h in enumerate(halves)))
+        halves = [h for x in hashes for h in (_and(x, MASK), F.shiftrightunsigned(x, 32))]
+        return F.struct(*(_and(acc[f"v{k}"] + h, MASK).alias(f"v{k}") for k, h in enumerate(halves)))
 
     def counted(acc: Column, h: Column) -> Column:
         return F.struct(
-            *((acc[f"v{k}"] + F.bitwise_and(F.shiftrightunsigned(h, k), PAIR)).alias(f"v{k}") for k in range(LANES // 2))
+            *((acc[f"v{k}"] + _and(F.shiftrightunsigned(h, k), PAIR)).alias(f"v{k}") for k in range(LANES // 2))
         )
 
     as_array = lambda n: lambda acc: F.array(*(acc[f"v{k}"] for k in range(n)))
@@ -80,15 +84,15 @@ def fingerprint_columns(text: Column) -> Column:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of both documents' paragraphs (``sign`` -1: of a's without b's)."""
-    exact = F.transform(F.arrays_zip(a["exact"], b["exact"]), lambda z: F.bitwise_and(z["0"] + sign * z["1"], MASK))
-    lanes = F.transform(F.arrays_zip(a["lanes"], b["lanes"]), lambda z: z["0"] + sign * z["1"])
+    exact = F.zip_with(a["exact"], b["exact"], lambda x, y: _and(x + sign * y, MASK))
+    lanes = F.zip_with(a["lanes"], b["lanes"], lambda x, y: x + sign * y)
     return F.struct(exact.alias("exact"), lanes.alias("lanes"), (a["triples"] + sign * b["triples"]).alias("triples"))
 
 
 def fingerprint_text(fp: Column) -> Column:
     """All lanes in hex: the exact ones, then the counts."""
     counts = F.flatten(
-        F.transform(fp["lanes"], lambda x: F.array(F.bitwise_and(x, MASK), F.shiftrightunsigned(x, 32)))
+        F.transform(fp["lanes"], lambda x: F.array(_and(x, MASK), F.shiftrightunsigned(x, 32)))
     )
     return F.array_join(F.transform(F.concat(fp["exact"], counts), _hex), "")
 
@@ -101,7 +105,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def centred(fp: Column) -> Column:
         half = fp["triples"].cast("double") / 2
-        both = lambda x: F.array(F.bitwise_and(x, MASK) - half, F.shiftrightunsigned(x, 32) - half)
+        both = lambda x: F.array(_and(x, MASK) - half, F.shiftrightunsigned(x, 32) - half)
         return F.flatten(F.transform(fp["lanes"], both))
 
     pairs = F.arrays_zip(centred(a).alias("x"), centred(b).alias("y"))
@@ -111,9 +115,9 @@ def likeness(a: Column, b: Column) -> Column:
             pairs,
             zero,
             lambda s, p: F.struct(
-                (s["xy"] + p["0"] * p["1"]).alias("xy"),
-                (s["xx"] + p["0"] * p["0"]).alias("xx"),
-                (s["yy"] + p["1"] * p["1"]).alias("yy"),
+                (s["xy"] + p["x"] * p["y"]).alias("xy"),
+                (s["xx"] + p["x"] * p["x"]).alias("xx"),
+                (s["yy"] + p["y"] * p["y"]).alias("yy"),
             ),
             lambda s: F.when(
                 (s["xx"] > 0) & (s["yy"] > 0),
@@ -133,29 +137,30 @@ def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: Fine ranges of ids that the driver sees counts of: its memory is bounded by this.
-FINE = 1 << 14
+FINE = 1 << 12
 
 
-def with_next(docs: DataFrame, key: str, text: str, ranges: int | None = None) -> DataFrame:
-    """(key, text, next_text): the text of the row after, by descending key.
+def with_next(docs: DataFrame, key: str, text: str, carried: list[str] = (), ranges: int | None = None) -> DataFrame:
+    """Add ``next``, a struct of ``text`` and ``carried`` of the row after, by descending key.
 
     After the last row comes the first. Null keys are last; rows of one key are
-    in order of their texts. Keys are cut into ranges of about equal text size
+    in order of their texts. Keys are cut into ranges of about equal row counts
     by a histogram of ``FINE`` counts, each range is one window, and the first
     row of a range is copied to the end of the one before it: each text is
-    shuffled once and no task sees more than a few ranges.
+    shuffled once and no task sees more than a few ranges. Other columns than
+    key, text and carried ones are dropped.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    names = [text, *carried]
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.struct(*names).alias("v"))
     ids = docs.select(F.col(key).cast("long").alias("k"))
     low, high = ids.agg(F.min("k"), F.max("k")).first()
     if low is None:
         low = high = 0
     width = (high - low) // FINE + 1
     fine = F.coalesce(F.expr(f"cast((k - {low}L) div {width}L as int)"), F.lit(0))
-    found = sorted(
-        ids.groupBy(fine.alias("f")).agg(F.count("*").alias("n"), F.max("k").alias("top")).collect(), key=lambda r: r["f"]
-    )
+    counts = ids.groupBy(fine.alias("f")).agg(F.count("*").alias("n"), F.max("k").alias("top"))
+    found = sorted(counts.collect(), key=lambda r: r["f"])
     ranges = ranges or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = max(1, -(-sum(r["n"] for r in found) // ranges))
     coarse, tops, held = [0] * (found[-1]["f"] + 1 if found else 1), [None], 0
@@ -167,37 +172,36 @@ def with_next(docs: DataFrame, key: str, text: str, ranges: int | None = None) -
         held += r["n"]
         if r["top"] is not None:
             tops[-1] = r["top"]
-    lookup = F.array(*map(F.lit, coarse)) if len(coarse) < 256 else F.from_json(F.lit(str(coarse)), "array<int>")
-    firsts = F.from_json(F.lit(str(["" if t is None else str(t) for t in tops]).replace("'", '"')), "array<string>")
+    lookup = F.expr(f"array({','.join(map(str, coarse))})")
+    firsts = F.expr(f"array({','.join('cast(null as bigint)' if t is None else f'{t}L' for t in tops)})")
     rows = rows.withColumn("r", F.get(lookup, fine))
     # A range's first row stands once more after the last row of the range above; the very first one after all.
-    is_first = F.col("k").eqNullSafe(F.get(firsts, F.col("r")).try_cast("long"))
+    is_first = F.col("k").eqNullSafe(F.get(firsts, F.col("r")))
     above = F.when(F.col("r") == len(tops) - 1, F.lit(0)).otherwise(F.col("r") + 1)
     places = F.array(F.struct(F.col("r").alias("r"), F.lit(False).alias("tail")))
     twice = F.concat(places, F.array(F.struct(above.alias("r"), F.lit(True).alias("tail"))))
-    placed = rows.select("k", "t", F.explode(F.when(is_first, twice).otherwise(places)).alias("p")).select("k", "t", "p.*")
-    order = Window.partitionBy("r").orderBy("tail", F.col("k").desc_nulls_last(), "t")
-    return placed.withColumn("next_text", F.lead("t").over(order)).where("NOT tail").select(
-        F.col("k").alias(key), F.col("t").alias(text), "next_text"
+    placed = rows.select("k", "v", F.explode(F.when(is_first, twice).otherwise(places)).alias("p")).select("k", "v", "p.*")
+    order = Window.partitionBy("r").orderBy("tail", F.col("k").desc_nulls_last(), F.col(f"v.{text}"))
+    return (
+        placed.withColumn("next", F.lead("v").over(order)).where("NOT tail").select(F.col("k").alias(key), "v.*", "next")
     )
 
 
 def op6_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and the next document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = with_next(docs, "doc_id", "text").withColumn("n", F.length("text"))
-    cut = F.floor(F.col("n") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.withColumn("edited", edited)
-    texts = F.array("text", "edited", "next_text")
-    fps = rows.select("doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), F.transform(texts, fingerprint_columns).alias("f"))
-    fp, other, near = F.get("f", F.lit(0)), F.get("f", F.lit(1)), F.get("f", F.lit(2))
-    return fps.select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(docs.withColumn("fp", fingerprint_columns(F.col("text"))), "doc_id", "text", ["fp"])
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
+    rows = rows.select("doc_id", n.alias("n"), "fp", F.col("next.fp").alias("next_fp"), edited.alias("edited"))
+    rows = rows.withColumn("edited_fp", fingerprint_columns(F.col("edited")))
+    return rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
-        "edited_sha256",
-        fingerprint_text(fp).alias("fingerprint"),
-        fingerprint_text(other).alias("edited_fingerprint"),
-        likeness(fp, other).alias("near_edited"),
-        likeness(fp, near).alias("near_next"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint_text(F.col("fp")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
