@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docloom.plans import knowledge_queries, retrieval_queries, text_queries
+
+_MODULES = (text_queries, retrieval_queries, knowledge_queries)
+QUERIES: dict = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked retrieval over the documents table."""
-    raise NotImplementedError
+    """Hybrid retrieval with reranking over the documents table."""
+    return retrieval_queries.hybrid_rerank(spark, sf_dir)
