@@ -108,17 +108,23 @@ class SuffixAutomaton:
         self.next = nxt
 
     def table(self) -> np.ndarray:
-        """Entries ``state | 0x8000`` end a phrase: the code begins the next one."""
+        """Entries ``state | 0x8000`` end a phrase: the code begins the next one.
+
+        The root is only the state before the first code, which ends nothing.
+        The last state stands for a code that the sample doesn't have, a phrase
+        that nothing can lengthen.
+        """
         n = len(self.next)
-        root = np.full(WIDTH, 0x8000, np.uint16)
+        begin = np.full(WIDTH, n, np.uint16)
         for c, s in self.next[0].items():
-            root[c] = 0x8000 | s
-        out = np.tile(root, (n, 1))
+            begin[c] = s
+        out = np.tile(begin | np.uint16(0x8000), (n + 1, 1))
+        out[0] = begin
         for i, row in enumerate(self.next):
             for c, s in row.items():
                 out[i, c] = s
-        # Code 0 pads lanes and changes nothing; code 1 is any unknown character.
-        out[:, 0] = np.arange(n, dtype=np.uint16)
+        # Code 0 pads lanes and changes nothing; code 1 is any character that no sample has.
+        out[:, 0] = np.arange(n + 1, dtype=np.uint16)
         return out.reshape(-1)
 
 
