@@ -22,32 +22,26 @@ def numeric_facts(chunks: DataFrame, text: str = "text") -> DataFrame:
     thousands lose their commas. Rows without numbers vanish.
     """
     low = chunks.withColumn("__low", F.lower(text))
-    units = []
-    for no, (unit, pattern) in enumerate(fixed.UNIT_PATTERNS):
-        # Pieces between matches: what stands before match i is the first i + 1 pieces and the first i matches.
+
+    def of_unit(no: int, unit: str, pattern: str) -> Column:
+        # What stands before match i is the first i + 1 pieces between matches and the first i matches.
         pieces, found = F.split("__low", pattern), _matches(F.col("__low"), pattern, 1)
-        units.append(
-            F.transform(
-                found,
-                lambda m, i, u=unit, n=no, p=pieces, f=found: F.struct(
-                    F.regexp_replace(m["g1"], ",", "").cast("bigint").alias("value"),
-                    F.lit(u).alias("unit"),
-                    F.concat_ws(
-                        "",
-                        F.flatten(
-                            F.zip_with(
-                                F.slice(p, 1, i + 1),
-                                F.slice(F.transform(f, lambda x: x["g0"]), 1, i),
-                                lambda a, b: F.array(a, F.coalesce(b, F.lit(""))),
-                            )
-                        ),
-                    ).alias("before"),
-                    m["g0"].alias("raw_match"),
-                    F.lit(n).alias("unit_no"),
-                    i.alias("match_no"),
-                ),
+        wholes = F.transform(found, lambda x: x["g0"])
+
+        def fact(m: Column, i: Column) -> Column:
+            before = F.zip_with(F.slice(pieces, 1, i + 1), F.slice(wholes, 1, i), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+            return F.struct(
+                F.regexp_replace(m["g1"], ",", "").cast("bigint").alias("value"),
+                F.lit(unit).alias("unit"),
+                F.array_join(before, "").alias("before"),
+                m["g0"].alias("raw_match"),
+                F.lit(no).alias("unit_no"),
+                i.alias("match_no"),
             )
-        )
+
+        return F.transform(found, fact)
+
+    units = [of_unit(no, unit, pattern) for no, (unit, pattern) in enumerate(fixed.UNIT_PATTERNS)]
     rows = low.withColumn("__f", F.explode(F.concat(*units))).select(*chunks.columns, "__f.*")
     words = F.filter(
         F.regexp_extract_all("before", F.lit("[a-z]+"), F.lit(0)), lambda x: ~x.isin(*fixed.CONTEXT_STOPWORDS)
@@ -58,18 +52,19 @@ def numeric_facts(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 def definitions(chunks: DataFrame, text: str = "text") -> DataFrame:
     """One row per definition sentence: term, definition_text, pattern_no and match_no."""
-    each = [
-        F.transform(
-            _matches(F.col(text), "(?U)" + p, 2),
-            lambda m, i, n=no: F.struct(
+
+    def of_pattern(no: int, pattern: str) -> Column:
+        def definition(m: Column, i: Column) -> Column:
+            return F.struct(
                 F.trim(m["g1"]).alias("term"),
                 F.regexp_replace(m["g2"], r"^\s+|\s+$", "").alias("definition_text"),
-                F.lit(n).alias("pattern_no"),
+                F.lit(no).alias("pattern_no"),
                 i.alias("match_no"),
-            ),
-        )
-        for no, p in enumerate(fixed.DEFINITION_PATTERNS)
-    ]
+            )
+
+        return F.transform(_matches(F.col(text), "(?U)" + pattern, 2), definition)
+
+    each = [of_pattern(no, p) for no, p in enumerate(fixed.DEFINITION_PATTERNS)]
     return chunks.withColumn("__d", F.explode(F.concat(*each))).select(*chunks.columns, "__d.*")
 
 

@@ -59,7 +59,7 @@ class TfidfReranker:
         weights = tfidf_weights(terms, ["query_id"], "doc", n)
         of_query = weights.where("doc = 'query'").select("query_id", "term", F.col("w").alias("q"))
         shared = weights.where("doc <> 'query'").join(of_query, ["query_id", "term"])
-        cosine = shared.groupBy("query_id", F.col("doc").cast("bigint").alias("chunk_id")).agg(F.sum(F.col("w") * F.col("q")).alias("s"))
+        cosine = shared.groupBy("query_id", F.col("doc").try_cast("bigint").alias("chunk_id")).agg(F.sum(F.col("w") * F.col("q")).alias("s"))
         scored = kept.join(cosine, ["query_id", "chunk_id"], "left")
         scored = scored.withColumn("score", F.round(F.coalesce("s", F.lit(0.0)), DIGITS))
         return top_ranked(scored, top_k, [F.desc("score"), F.asc("fused_rank")]).select("query_id", "chunk_id", "score", "rank")

@@ -44,7 +44,7 @@ class Base:
         return self._once("conflicts", lambda: integrity.conflicts_table(self.contradictions(), self.definition_conflicts()))
 
     def duplicates(self) -> DataFrame:
-        pairs = lambda: integrity.duplicate_pairs(self.chunks, self.versions(), 0.8)
+        pairs = lambda: integrity.duplicate_pairs(self.chunks, self.versions(), 0.5)
         return self._once("clusters", lambda: integrity.duplicate_clusters(self._once("duplicates", pairs)))
 
     def entities(self) -> DataFrame:
@@ -339,7 +339,7 @@ dp AS (
 )"""
 
 
-_DUPS = f"""{_pairs_sql("kb", "id", "raw_text", 0.8)}, dups AS (
+_DUPS = f"""{_pairs_sql("kb", "id", "raw_text", 0.5)}, dups AS (
   SELECT a AS chunk_a_id, b AS chunk_b_id, score AS similarity_score FROM dp WHERE NOT EXISTS (
     SELECT 1 FROM ver WHERE (current_id = a AND outdated_id = b) OR (current_id = b AND outdated_id = a))
 ), sym AS (SELECT chunk_a_id AS x, chunk_b_id AS y FROM dups UNION SELECT chunk_b_id, chunk_a_id FROM dups),
