@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
+from docloom.functions.text import let
 
 
 def _matches(text: Column, pattern: str, groups: int) -> Column:
@@ -25,11 +26,11 @@ def numeric_facts(chunks: DataFrame, text: str = "text") -> DataFrame:
 
     def of_unit(no: int, unit: str, pattern: str) -> Column:
         # What stands before match i is the first i + 1 pieces between matches and the first i matches.
-        pieces, found = F.split("__low", pattern), _matches(F.col("__low"), pattern, 1)
-        wholes = F.transform(found, lambda x: x["g0"])
+        def of_pieces(pieces: Column) -> Column:
+            return let(_matches(F.col("__low"), pattern, 1), lambda found: F.transform(found, lambda m, i: fact(pieces, found, m, i)))
 
-        def fact(m: Column, i: Column) -> Column:
-            before = F.zip_with(F.slice(pieces, 1, i + 1), F.slice(wholes, 1, i), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        def fact(pieces: Column, found: Column, m: Column, i: Column) -> Column:
+            before = F.zip_with(F.slice(pieces, 1, i + 1), F.slice(found, 1, i), lambda a, b: F.concat(a, F.coalesce(b["g0"], F.lit(""))))
             return F.struct(
                 F.regexp_replace(m["g1"], ",", "").cast("bigint").alias("value"),
                 F.lit(unit).alias("unit"),
@@ -39,7 +40,7 @@ def numeric_facts(chunks: DataFrame, text: str = "text") -> DataFrame:
                 i.alias("match_no"),
             )
 
-        return F.transform(found, fact)
+        return let(F.split("__low", pattern), of_pieces)
 
     units = [of_unit(no, unit, pattern) for no, (unit, pattern) in enumerate(fixed.UNIT_PATTERNS)]
     rows = low.withColumn("__f", F.explode(F.concat(*units))).select(*chunks.columns, "__f.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,15 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.expr("cast(array() as array<string>)")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once.
+
+    A lambda's body is evaluated anew for every element, with all that it
+    names; an array expression that it indexes would make it quadratic.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def approx_tokens(text: Column | str) -> Column:
     """Number of runs of non-blanks."""
     return F.size(F.filter(F.split(_col(text), r"\s+"), lambda x: x != ""))
@@ -82,11 +91,13 @@ def tokenize(text: Column | str, stop_words: Sequence[str] = STOPWORDS) -> Colum
 def ngram_terms(text: Column | str, stop_words: Sequence[str]) -> Column:
     """Words of two letters or more without stop words, then pairs of what is left."""
     found = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    words = F.filter(found, lambda x: ~x.isin(*stop_words)) if stop_words else found
-    pairs = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(words, i + 1))
-    )
-    return F.concat(words, pairs)
+    kept = F.filter(found, lambda x: ~x.isin(*stop_words)) if stop_words else found
+
+    def with_pairs(words: Column) -> Column:
+        first = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+        return F.concat(words, F.transform(first, lambda x, i: F.concat_ws(" ", x, F.get(words, i + 1))))
+
+    return let(kept, with_pairs)
 
 
 def normalize_blanks(text: Column | str) -> Column:
