@@ -14,9 +14,9 @@ from docloom.llm import decontaminate, langid, mixing, secrets, simhash
 from docloom.plans.tables import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Above so many bits a character a text is in none of the learned languages
-#: (phrases under two characters); shorter texts than this are too short to tell.
-MAX_BITS, MIN_CHARS = 7.0, 50
+#: Above so many bits a character a text is in none of the learned languages (most of its
+#: characters are phrases of their own, as in an unknown script); shorter texts than this are too short to tell.
+MAX_BITS, MIN_CHARS = 11.0, 100
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,25 +38,24 @@ NONE = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
+def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, str]:
     """Sample texts by language, at most ``SAMPLE_CHARS`` characters each.
 
-    The sample is the ``SAMPLE_ROWS`` rows of least id hash in each language,
-    equal parts of each. It is the only thing that the driver holds, and its
-    size is fixed by the three bounds above. Raises if there are more than
-    ``MAX_LANGUAGES`` labels.
+    The sample is the ``SAMPLE_ROWS`` distinct texts of least hash in each
+    language, equal parts of each, so a text that has many copies counts once.
+    It is the only thing that the driver holds, and its size is fixed by the
+    three bounds above. Raises if there are more than ``MAX_LANGUAGES`` labels.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"), F.col(text).alias("text")
-    )
-    part = 4 * SAMPLE_CHARS // SAMPLE_ROWS
-    rows = rows.select("lang", "h", F.substring("text", 1, part).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    kept = rows.withColumn("r", rank).where(F.col("r") <= SAMPLE_ROWS)
-    grouped = kept.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "text"))).alias("ts"))
-    found = grouped.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= SAMPLE_ROWS)
+    part = 4 * SAMPLE_CHARS // SAMPLE_ROWS
+    pieces = rows.join(F.broadcast(least), ["lang", "h"]).select("lang", "r", F.substring("text", 1, part).alias("text"))
+    grouped = pieces.groupBy("lang").agg(F.sort_array(F.collect_set(F.struct("r", "text"))).alias("ts"))
+    found = grouped.orderBy("lang").collect()
     out = {}
     for row in found:
         texts = [t["text"] for t in row["ts"]]
