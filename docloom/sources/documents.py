@@ -24,7 +24,7 @@ def parse_date(value: Column) -> Column:
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """(path, content) of all files below ``folder`` with the pattern, in no order."""
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True)
-    return read.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return read.format("text").load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def parse_front_matter(files: DataFrame) -> DataFrame:
