@@ -11,7 +11,7 @@ from docloom.operators import evaluation, graph, integrity, serving
 from docloom.plans import adapters
 from docloom.plans.adapters import table
 from docloom.plans.tables import materialize
-from docloom.plans.text_queries import STOP
+from docloom.plans.text_queries import STOP, TOKENS
 
 
 class Base:
@@ -514,6 +514,24 @@ ORACLES = {
           SELECT r.id, string_agg(o.name || '|' || o.entity_type || '|' || relation_type, ';' ORDER BY rank) AS l FROM ranked r JOIN ent o ON o.id = other WHERE rank <= 4 GROUP BY r.id
         ) SELECT e.name, string_agg(l, '#' ORDER BY l) AS related FROM lists JOIN ent e USING (id) GROUP BY e.name""",
     ).replace(") , alle AS", "), alle AS"),
+    "search_results": _with(
+        _CONFLICTS,
+        """kt AS (SELECT id, unnest(%s) AS term FROM kb), ktf AS (SELECT term, id, count(*) AS tf FROM kt GROUP BY ALL),
+        kraw AS (SELECT term, ln(CAST((SELECT count(*) FROM kb) AS DOUBLE) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM ktf GROUP BY term),
+        kidf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM kraw) ELSE raw END AS idf FROM kraw),
+        klen AS (SELECT id, count(*) AS dl FROM kt GROUP BY id),
+        ask AS (SELECT id AS query_id, %s AS qt FROM kb WHERE id %% 100 = 0),
+        kq AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(qt) AS term FROM ask) GROUP BY ALL),
+        ks AS (SELECT query_id, id AS chunk_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / (SELECT avg(dl) FROM klen)))), 6) AS score
+          FROM kq JOIN kidf USING (term) JOIN ktf USING (term) JOIN klen USING (id) GROUP BY ALL),
+        kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ks WHERE score > 0) WHERE rank <= 5)"""
+        % (TOKENS.replace("lower(text)", "lower(raw_text)"), TOKENS.replace("lower(text)", "lower(title || ' ' || department)")),
+        query=f"""SELECT query_id, chunk_id, rank, score, round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, score / max(score) OVER (PARTITION BY query_id) * 100)), 1) AS confidence,
+          doc_key, {_level(0, "authority_level")} AS authority_label,
+          chunk_id IN (SELECT chunk_a_id FROM conf UNION SELECT chunk_b_id FROM conf) AS has_conflict,
+          array_to_string(list_filter(qt, lambda x, i: list_contains({TOKENS.replace("lower(text)", "lower(raw_text)")}, x) AND list_position(qt, x) = i)[1:6], ',') AS matched
+          FROM kr JOIN ask USING (query_id) JOIN kb ON kb.id = chunk_id""",
+    ),
     "conflicted_documents": _with(_CONFLICTS, query="SELECT chunk_a_id AS document_id FROM conf UNION SELECT chunk_b_id FROM conf"),
     "dashboard": _with(
         _CONFLICTS,
