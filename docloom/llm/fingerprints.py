@@ -21,9 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import let
+
 EXACT, LANES, MASK = 16, 64, 0xFFFFFFFF
 #: Both bits that a shift brings to the lowest places of a long's halves.
 PAIR = (1 << 32) | 1
+#: The lowest bit of each byte of a long.
+BYTES = 0x0101010101010101
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -36,9 +40,16 @@ def paragraphs(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "\n")).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def _triples(paragraph: Column) -> Column:
-    """Hashes of all word triples, or of the whole of a shorter paragraph."""
-    words = F.filter(F.split(paragraph, SPACE), lambda w: w != "")
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, SPACE), lambda w: w != "")
+
+
+def _triples(words: Column) -> Column:
+    """Hashes of all word triples, or of the whole of fewer words.
+
+    ``words`` must be a column or a lambda's variable: an expression here would
+    be worked out anew for every triple.
+    """
     n = F.size(words)
     three = F.transform(
         F.slice(words, 1, F.greatest(n - 2, F.lit(1))),
@@ -61,25 +72,42 @@ def fingerprint_columns(text: Column) -> Column:
     ``exact`` has ``EXACT`` lanes, ``lanes`` has ``LANES`` pairwise packed
     counts in ``LANES / 2`` longs, ``triples`` is how many were counted.
     """
-    lines = paragraphs(F.coalesce(text, F.lit("")))
 
     def whole(acc: Column, line: Column) -> Column:
         hashes = [F.xxhash64(F.lit(seed), line) for seed in range(EXACT // 2)]
         halves = [h for x in hashes for h in (_and(x, MASK), F.shiftrightunsigned(x, 32))]
         return F.struct(*(_and(acc[f"v{k}"] + h, MASK).alias(f"v{k}") for k, h in enumerate(halves)))
 
+    # Up to 127 hashes are counted in bytes, eight bits of them to a long, before the 32-bit lanes are added to.
+    def spread(acc: Column) -> Column:
+        wide = (F.get(acc["big"], F.lit(k)) + _and(F.shiftrightunsigned(acc[f"s{k % 8}"], 8 * (k // 8)), 255 * PAIR) for k in range(LANES // 2))
+        return F.array(*wide)
+
     def counted(acc: Column, h: Column) -> Column:
-        return F.struct(
-            *((acc[f"v{k}"] + _and(F.shiftrightunsigned(h, k), PAIR)).alias(f"v{k}") for k in range(LANES // 2))
+        bits = [_and(F.shiftrightunsigned(h, k), BYTES) for k in range(8)]
+        begun = F.struct(F.lit(1).alias("n"), *(b.alias(f"s{k}") for k, b in enumerate(bits)), spread(acc).alias("big"))
+        grown = F.struct((acc["n"] + 1).alias("n"), *((acc[f"s{k}"] + b).alias(f"s{k}") for k, b in enumerate(bits)), acc["big"].alias("big"))
+        return F.when(acc["n"] == 127, begun).otherwise(grown)
+
+    empty = F.struct(
+        F.lit(0).alias("n"),
+        *(F.lit(0).cast("long").alias(f"s{k}") for k in range(8)),
+        F.array_repeat(F.lit(0).cast("long"), LANES // 2).alias("big"),
+    )
+    as_array = lambda n: lambda acc: F.array(*(acc[f"v{k}"] for k in range(n)))
+
+
+    def both(lines: Column) -> Column:
+        return let(
+            F.flatten(F.transform(F.transform(lines, _words), _triples)),
+            lambda triples: F.struct(
+                F.aggregate(lines, _zeros(EXACT), whole, as_array(EXACT)).alias("exact"),
+                F.aggregate(triples, empty, counted, spread).alias("lanes"),
+                F.size(triples).cast("long").alias("triples"),
+            ),
         )
 
-    as_array = lambda n: lambda acc: F.array(*(acc[f"v{k}"] for k in range(n)))
-    triples = F.flatten(F.transform(lines, _triples))
-    return F.struct(
-        F.aggregate(lines, _zeros(EXACT), whole, as_array(EXACT)).alias("exact"),
-        F.aggregate(triples, _zeros(LANES // 2), counted, as_array(LANES // 2)).alias("lanes"),
-        F.size(triples).cast("long").alias("triples"),
-    )
+    return let(paragraphs(F.coalesce(text, F.lit(""))), both)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
