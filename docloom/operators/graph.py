@@ -87,6 +87,11 @@ def metadata_relations(documents: DataFrame) -> DataFrame:
     return d.select(F.explode(made).alias("e")).select("e.*")
 
 
+def _stretches(text: str) -> Column:
+    """Distinct stretches of ``GRAM`` characters: an empty match at every place, which is linear."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
 def reference_relations(documents: DataFrame) -> DataFrame:
     """references: another document's title stands in the body, blanks normalised, case ignored.
 
@@ -94,16 +99,19 @@ def reference_relations(documents: DataFrame) -> DataFrame:
     document's own, the document itself, and the one that it supersedes.
     A title may begin and end inside a word, so candidates are found by
     characters: the body's distinct stretches of ``GRAM`` characters meet the
-    titles that begin so, an equi-join; the substring test is then exact.
+    titles whose rarest stretch it is, an equi-join; the substring test is
+    then exact.
     """
     titles = documents.where(F.length("title") >= fixed.MIN_TITLE).select(F.col("doc_key").alias("target"), F.lower("title").alias("t"))
-    titles = titles.withColumn("gram", F.substring("t", 1, GRAM))
+    # Each title is found by its stretch that fewest titles have.
+    several = titles.withColumn("gram", F.explode(_stretches("t")))
+    common = several.groupBy("gram").agg(F.count("*").alias("n"))
+    titles = several.join(common, "gram").groupBy("target", "t").agg(F.min(F.struct("n", "gram")).alias("g"))
+    titles = titles.select("target", "t", F.col("g.gram").alias("gram"))
     body = F.lower(normalize_blanks(F.coalesce("raw_text", F.lit(""))))
     d = documents.select("doc_key", F.lower("title").alias("own"), "supersedes_doc_key", body.alias("body"))
     starts = titles.select("gram").distinct()
-    # An empty match with a lookahead at every place: linear, which substrings by position aren't.
-    grams = F.array_distinct(F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-    met = d.select("doc_key", F.explode(grams).alias("gram")).join(starts, "gram").join(titles, "gram").select("doc_key", "t", "target")
+    met = d.select("doc_key", F.explode(_stretches("body")).alias("gram")).join(starts, "gram").join(titles, "gram").select("doc_key", "t", "target")
     tested = met.join(d, "doc_key").where(
         F.contains("body", F.col("t"))
         & ~F.contains("own", F.col("t"))
