@@ -7,8 +7,11 @@ number of characters estimates the cross entropy (Ziv and Merhav, "A measure of
 relative entropy between individual sequences", 1993). The language that needs
 fewest normalised phrases wins.
 
-The automata are dense tables, built once in each Python worker from the
-samples, the only thing that is sent. Texts are cut into lanes of ``LANE``
+Every character of the samples has a code of its own. The automata are tables,
+built once in each Python worker from the samples, the only thing that is sent:
+dense ones for the commonest characters, and one hash table of the transitions
+by all others, so large scripts cost memory by the sample, not by the alphabet.
+Texts are cut into lanes of ``LANE``
 characters that all step through the tables together in numpy; a phrase ends
 where its lane ends, which adds less than one phrase to each ``LANE`` characters
 and does so alike for all languages.
@@ -31,6 +34,7 @@ from docloom.llm.arrow import add_columns
 
 #: Bounds of the training sample: languages, rows per language, characters per language (tables have twice as many states).
 MAX_LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 64, 16_000
+#: Codes of the dense tables; characters with higher codes step through the hash table.
 LANE, WIDTH = 256, 64
 #: Characters parsed at a time: bounds a worker's memory.
 BATCH_CHARS = 2_000_000
@@ -116,58 +120,119 @@ class SuffixAutomaton:
         n = len(self.next)
         begin = np.full(WIDTH, n, np.uint16)
         for c, s in self.next[0].items():
-            begin[c] = s
+            if c < WIDTH:
+                begin[c] = s
         out = np.tile(begin | np.uint16(0x8000), (n + 1, 1))
         out[0] = begin
         for i, row in enumerate(self.next):
             for c, s in row.items():
-                out[i, c] = s
+                if c < WIDTH:
+                    out[i, c] = s
         # Code 0 pads lanes and changes nothing; code 1 is any character that no sample has.
         out[:, 0] = np.arange(n + 1, dtype=np.uint16)
         return out.reshape(-1)
 
+    def others(self) -> list[tuple[int, int, int]]:
+        """(state, code, next state) of the codes that the table has no column for."""
+        return [(i, c, s) for i, row in enumerate(self.next) for c, s in row.items() if c >= WIDTH]
+
+
+class Transitions:
+    """Next states by (language, state, code): an open hash table, searched for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, states: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.states = np.zeros(1 << self.bits, np.int64)
+        at = self._home(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            put = self.keys[at] == keys
+            self.states[at[put]] = states[put]
+            keys, states, at = keys[~put], states[~put], self._next(at[~put])
+
+    @staticmethod
+    def key(language: np.ndarray, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        # States take 15 bits, codes at most 21.
+        return (language << 36) | (state << 21) | code
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            seen = self.keys[at]
+            hit = seen == keys[left]
+            out[left[hit]] = self.states[at[hit]]
+            go = ~hit & (seen >= 0)
+            left, at = left[go], self._next(at[go])
+        return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
 @functools.lru_cache(maxsize=2)
 def _model(samples: tuple[tuple[str, str], ...]) -> tuple:
     folded = [fold(s) for _, s in samples]
-    common = [c for c, _ in sorted(Counter("".join(folded)).items(), key=lambda x: (-x[1], x[0]))[: WIDTH - 2]]
-    lookup = np.ones(0x10000, np.uint8)
-    for i, c in enumerate(common):
-        if ord(c) < 0x10000:
-            lookup[ord(c)] = i + 2
-    tables, bits = [], []
-    for s in folded:
-        codes = lookup[np.minimum(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
-        # An unknown character never matches, so it needn't be in the sample.
-        tables.append(SuffixAutomaton([int(c) for c in codes if c > 1]).table())
+    common = [c for c, _ in sorted(Counter("".join(folded)).items(), key=lambda x: (-x[1], x[0]))]
+    lookup = np.ones(0x110000, np.int32)
+    lookup[[ord(c) for c in common]] = np.arange(2, len(common) + 2)
+    tables, bits, others = [], [], [np.zeros((0, 4), np.int64)]
+    for i, s in enumerate(folded):
+        automaton = SuffixAutomaton(lookup[_points(s)].tolist())
+        tables.append(automaton.table())
+        others += [np.array([(i, *x) for x in found], np.int64)] if (found := automaton.others()) else []
         bits.append(math.log2(max(2, len(s))))
     offsets = np.cumsum([0, *(len(t) for t in tables[:-1])]).astype(np.int64)
-    return lookup, np.concatenate(tables), offsets, np.array(bits), [k for k, _ in samples]
+    lang, state, code, to = np.concatenate(others).T
+    rare = Transitions(Transitions.key(lang, state, code), to)
+    unknown = np.array([len(t) // WIDTH - 1 for t in tables], np.int64)
+    return lookup, np.concatenate(tables), offsets, np.array(bits), [k for k, _ in samples], rare, unknown
 
 
 def phrase_counts(texts: list[str], samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Phrases by text and language, and characters by text."""
-    lookup, table, offsets, _, _ = _model(samples)
-    codes = [
-        lookup[np.minimum(np.frombuffer(fold(t).encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)] for t in texts
-    ]
+    lookup, table, offsets, _, _, rare, unknown = _model(samples)
+    codes = [lookup[_points(fold(t))] for t in texts]
     sizes = np.array([len(c) for c in codes], np.int64)
     lanes = -(-sizes // LANE)
     total, langs = int(lanes.sum()), len(offsets)
     if not total:
         return np.zeros((len(texts), langs)), sizes
-    grid = np.zeros(total * LANE, np.uint8)
+    grid = np.zeros(total * LANE, np.int32)
     at = np.concatenate([[0], np.cumsum(lanes)])
     for c, i in zip(codes, at, strict=False):
         grid[i * LANE : i * LANE + len(c)] = c
     grid = np.ascontiguousarray(grid.reshape(total, LANE).T)
+    some = (grid >= WIDTH).any(axis=1)
     state = np.zeros((langs, total), np.int64)
     count = np.zeros((langs, total), np.int64)
     base = offsets[:, None]
-    for step in grid:
-        got = table.take(base + (state << 6) + step)
-        count += got >> 15
-        state = (got & 0x7FFF).astype(np.int64)
+    for step, more in zip(grid, some, strict=True):
+        got = table.take(base + (state << 6) + (np.where(step < WIDTH, step, 1) if more else step))
+        ended, then = got >> 15, (got & 0x7FFF).astype(np.int64)
+        if more:
+            # By a code without a column: from this state, or else from the root, where it begins a phrase.
+            lane = np.flatnonzero(step >= WIDTH)
+            lang, code, old = np.repeat(np.arange(langs), len(lane)), np.tile(step[lane].astype(np.int64), langs), state[:, lane].reshape(-1)
+            to = rare.find(rare.key(lang, old, code))
+            miss = np.flatnonzero(to < 0)
+            to[miss] = rare.find(rare.key(lang[miss], np.zeros(len(miss), np.int64), code[miss]))
+            to = np.where(to < 0, unknown[lang], to)
+            new = np.zeros(len(to), got.dtype)
+            new[miss] = old[miss] > 0
+            ended[:, lane], then[:, lane] = new.reshape(langs, -1), to.reshape(langs, -1)
+        count += ended
+        state = then
     # The phrase that a lane ends in.
     count += 1
     sums = np.add.reduceat(np.concatenate([count, np.zeros((langs, 1), np.int64)], axis=1), at[:-1], axis=1)
@@ -180,7 +245,7 @@ def judge(texts: list[str | None], samples: tuple[tuple[str, str], ...]) -> list
     out: list = [(NONE, 0.0, 0.0)] * len(texts)
     if not samples:
         return out
-    _, _, _, bits, names = _model(samples)
+    bits, names = _model(samples)[3:5]
     todo = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
     while todo:
         n, chars = 0, 0

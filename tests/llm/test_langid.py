@@ -69,3 +69,18 @@ def test_nulls_empty_long_repeats_and_clashes(spark):
     assert langid.identify_languages(df.limit(0), {"en": EN}).count() == 0
     assert {r["lang_pred"] for r in langid.identify_languages(df, {}).collect()} == {"und"}
     assert langid.learn(df.limit(0)) == {}
+
+
+def test_every_character_of_the_samples_has_a_code():
+    # Two large scripts and one small: far more characters than the dense tables have columns.
+    rng = np.random.default_rng(2)
+    zh = "".join(map(chr, rng.integers(0x4E00, 0x5200, 6000)))
+    astral = "".join(map(chr, rng.integers(0x20000, 0x20100, 3000)))
+    samples = (("en", EN * 20), ("xx", astral), ("zh", zh))
+    texts = [zh[700:1500], astral[50:400] + "\u4e00?", EN, zh[5:90] + EN + astral[7:80], "\U0002ffff" * 9 + zh[:3]]
+    counts, _ = langid.phrase_counts(texts, samples)
+    for t, row in zip(texts, counts, strict=True):
+        for c, (_, s) in zip(row, samples, strict=True):
+            assert c == sum(greedy(t[i : i + langid.LANE].lower(), s) for i in range(0, len(t), langid.LANE))
+    judged = langid.judge(texts[:3], samples)
+    assert [j[0] for j in judged] == ["zh", "xx", "en"] and max(j[2] for j in judged) < 2
