@@ -156,11 +156,11 @@ def graph_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbourhood_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges within two hops of document doc-10, found by its name in capitals."""
+    """Edges of every kind within two hops of document doc-10, found by its name in capitals."""
     b = Base(spark, sf_dir)
     start = graph.find_entity(b.entities(), "DOC-10")
     ids = b.entities().where(F.col("id") == (-1 if start is None else start)).select("id")
-    return graph.neighbourhood(b.entities(), b.edges().where("relation_type <> 'applies_to'"), ids, 2)[1]
+    return graph.neighbourhood(b.entities(), b.edges().unionByName(b.found_edges()), ids, 2)[1]
 
 
 def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import components, graph, ingest, integrity, serving
+from docloom.plans import knowledge_queries
 from docloom.sources import documents as sources
 from docloom.sources import records
 from docloom.streaming.ingest import stream_ingest
+from tests.test_oracles import SF
 
 PAGE = """---
 doc_key: {key}
@@ -180,3 +182,17 @@ def test_dashboard_without_findings(spark):
     r = serving.dashboard(docs, docs, docs, none, none).first()
     assert r["integrity_score"] is None and r["documents"] == 1
     assert serving.dashboard(docs, docs, docs, docs.union(docs), none).first()["integrity_score"] == -100.0
+
+
+def test_neighbourhood_query_takes_every_kind_of_edge(spark):
+    base = knowledge_queries.Base(spark, SF)
+    edges = [r.asDict() for r in base.edges().unionByName(base.found_edges()).collect()]
+    ids = {r["name"].lower(): r["id"] for r in base.entities().collect()}
+    reached = {ids["doc-10"]}
+    for _ in range(2):
+        ends = [(e["source_entity_id"], e["target_entity_id"]) for e in edges]
+        reached |= {v for u, v in ends if u in reached} | {u for u, v in ends if v in reached}
+    want = [e for e in edges if {e["source_entity_id"], e["target_entity_id"]} <= reached]
+    got = [r.asDict() for r in knowledge_queries.neighbourhood_k2(spark, SF).collect()]
+    assert ids["employees"] in reached and any(e["relation_type"] == "applies_to" for e in got)
+    assert sorted(map(str, got)) == sorted(map(str, ({k: e[k] for k in got[0]} for e in want)))
