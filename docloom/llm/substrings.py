@@ -3,7 +3,7 @@
 Every window of ``WINDOW`` words gets a Rabin-Karp hash (of XXH64 word hashes,
 modulo 2^64). Tasks cut their rows into batches, and each batch sends the
 distinct hashes of its windows, with the places where they start, to the bucket
-that a part of the hash names. A bucket sorts its hashes; those that came from
+that a second hash, on another base, names. A bucket sorts its hashes; those that came from
 two batches, and those that a batch saw twice itself, are repeated. The places
 go back to their batch, overlapping windows merge to maximal intervals of
 words, and one join brings each document its intervals.
@@ -12,9 +12,10 @@ So a window costs ``HASH_BYTES`` + 1 bytes of shuffle, and one that repeats
 a million times costs as much for each batch that has it, not for each time.
 Buckets and batches have bounded sizes however often a window repeats.
 
-``HASH_BYTES`` + the bucket's bits make the hash that is compared: over 62 bits
-with the default. Two of N different windows meet with probability N^2 / 2^63,
-so raise ``hash_bytes`` to 8 beyond some 10^9 windows.
+All 64 bits of the hash are compared, and by the bucket log2(buckets) bits of
+the second one. The words aren't: some N^2 / (2^65 * buckets) pairs of N
+different windows are expected to meet, 0.002 at 4 * 10^9 windows (30 GB) and
+200 buckets. A smaller ``hash_bytes`` compares as many bits less.
 """
 
 from __future__ import annotations
@@ -33,13 +34,14 @@ from pyspark.sql import types as T
 from docloom.llm.arrow import add_columns
 
 WINDOW = 35
-HASH_BYTES = 7
+HASH_BYTES = 8
 #: Words that a batch gathers before it is sent (one document may exceed it).
 BATCH_WORDS = 1 << 20
 #: Word hashes kept in a worker's cache.
 CACHE = 200_000
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Base of the hash that names the bucket.
+SECOND = 0xC2B2AE3D27D4EB4F
 
 PART = "bucket long, batch long, kind int, data binary, places binary"
 BACK = "batch long, kind int, data binary"
@@ -56,20 +58,21 @@ class WordHashes(dict):
 
 
 class _Powers:
-    """Powers of the base and of its inverse, as far as they were needed."""
+    """Powers of a base and of its inverse, as far as they were needed."""
 
-    up = down = np.ones(1, np.uint64)
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def get(cls, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+        if base not in cls.known or len(cls.known[base][0]) < n:
             size = 1 << n.bit_length()
 
             def series(x: int) -> np.ndarray:
                 return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
 
-            cls.up, cls.down = series(BASE), series(INVERSE)
-        return cls.up[:n], cls.down[:n]
+            cls.known[base] = series(base), series(pow(base, -1, 1 << 64))
+        up, down = cls.known[base]
+        return up[:n], down[:n]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -77,12 +80,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, window: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hash of each window of the word hashes, mixed at the end."""
     n = len(words)
     if n < window:
         return np.zeros(0, np.uint64)
-    up, down = _Powers.get(n)
+    up, down = _Powers.get(n, base)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * down, dtype=np.uint64)])
     h = (sums[window:] - sums[:-window]) * up[: n - window + 1]
     # The low bits of a product modulo 2^64 see only low bits: fold the high ones in.
@@ -134,7 +137,9 @@ def _send(window: int, buckets: int, hash_bytes: int):
             own = np.sort(place[order[twice]])
             keep = np.sort(order[first])
             h, place = h[keep], place[keep]
-            bucket = (h >> np.uint64(40)) % np.uint64(buckets)
+            second = np.concatenate([window_hashes(x, window, SECOND) for x in hashes])[keep]
+            bucket = (second >> np.uint64(32)) % np.uint64(buckets)
+            del second
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             rows = []

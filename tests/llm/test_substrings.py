@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from docloom.llm import substrings as ss
 from tests.llm.helpers import SF, docs, same_as_oracle, tuples
@@ -73,3 +74,30 @@ def test_digest_of_nothing_kept(spark):
     rows = [(1, "a b " * 40)]
     out = ss.remove_repeats(ss.find_repeats(docs(spark, rows))).first()
     assert hashlib.sha256(out["kept"].encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_all_bits_of_both_hashes_are_compared(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task())
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(ss, "TaskContext", Task)
+    monkeypatch.setattr(ss, "BATCH_WORDS", 1)
+    one, two = 0x0123456789ABCDEF, 0xFEDCBA9876543210
+
+    def found(hashes, buckets=64):
+        """How many windows meet: a batch of one window for each (hash, second hash)."""
+        of = {ss.WordHashes()[str(i).encode()]: pair for i, pair in enumerate(hashes)}
+
+        def made(words, window, base=ss.BASE):
+            return np.array([of[int(words[0])][base != ss.BASE]], np.uint64)
+
+        monkeypatch.setattr(ss, "window_hashes", made)
+        rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(hashes))), "text": [f"{i} x" for i in range(len(hashes))]})
+        sent = [r for b in ss._send(2, buckets, ss.HASH_BYTES)(iter([rows])) for r in b.to_pylist()]
+        batch = pa.RecordBatch.from_pylist(sorted(sent, key=lambda r: r["bucket"]))
+        return sum(r["kind"] == 0 for b in ss._count(ss.HASH_BYTES)(iter([batch])) for r in b.to_pylist())
+
+    assert found([(one, two), (one, two)]) == 2
+    assert all(found([(one, two), (one ^ (1 << bit), two)]) == 0 for bit in range(64))
+    assert found([(one, two), (one, two ^ (1 << 32))]) == 0
