@@ -76,10 +76,11 @@ def duplicate_pairs(
     """(chunk_a_id, chunk_b_id, similarity_score) by TF-IDF cosine.
 
     Chunks of one document and of documents that supersede each other are no
-    duplicates. Chunks of equal terms are compared once: they share one class
-    representative, and rows name class representatives and members' own pairs
-    are linked to them (see :func:`duplicate_clusters`), so a group of copies
-    costs as many rows as it has members.
+    duplicates. Chunks of equal terms are compared once, as one class; the tests
+    of documents are made on its members. Not all pairs of a class, or of two
+    similar ones, are returned, but as many as connect what all of them connect
+    (see :func:`duplicate_clusters`), so a group of copies costs about as many
+    rows as it has members, and no chunk with any partner is left out.
     """
     terms = chunks.select("chunk_id", "document_id", F.sort_array(ngram_terms(F.coalesce("text", F.lit("")), stop_words)).alias("ts"))
     classes = terms.withColumn("cls", F.min("chunk_id").over(Window.partitionBy(F.xxhash64("ts"), F.size("ts"))))
@@ -89,16 +90,57 @@ def duplicate_pairs(
     weights = tfidf_weights(exploded.select("chunk_id", "term"), [], "chunk_id", n)
     vectors = materialize(weights.join(classes.where("chunk_id = cls").select("chunk_id"), "chunk_id", "left_semi"), "vectors")
     between = similar_pairs(vectors, threshold)
-    inside = classes.where("chunk_id <> cls").select(F.col("cls").alias("a"), F.col("chunk_id").alias("b"), F.lit(1.0).alias("score"))
-    owner = classes.select("chunk_id", "document_id")
-    pairs = between.unionByName(inside)
-    pairs = pairs.join(owner.select(F.col("chunk_id").alias("a"), F.col("document_id").alias("doc_a")), "a").join(
-        owner.select(F.col("chunk_id").alias("b"), F.col("document_id").alias("doc_b")), "b"
-    )
-    pairs = _without_versions(pairs.where("doc_a <> doc_b"), versions, "doc_a", "doc_b")
+    within = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("score")).distinct()
+    pairs = _member_links(classes.select("chunk_id", "document_id", "cls"), between.unionByName(within), versions)
     return pairs.select(F.col("a").alias("chunk_a_id"), F.col("b").alias("chunk_b_id"), F.col("score").alias("similarity_score"))
 
 
+def _member_links(classes: DataFrame, links: DataFrame, versions: DataFrame) -> DataFrame:
+    """(a, b, score), a < b: admissible pairs of chunks that connect all that are, by links of classes.
+
+    Chunks of one class and document have the same partners, so they are one
+    cell, named by its smallest chunk. A class's first cell links to all others
+    but its document's versions. Only those and the first cell itself (``odd``)
+    can lack links that the class as a whole has, and look for their own.
+    """
+    cells = classes.groupBy("cls", "document_id").agg(F.min("chunk_id").alias("cell"))
+    first = cells.where("cell = cls").select("cls", F.col("document_id").alias("doc_first"))
+    even = _without_versions(cells.join(first, "cls").where("cell <> cls"), versions, "document_id", "doc_first").select("cell")
+    cells = cells.join(even.withColumn("even", F.lit(True)), "cell", "left").withColumn("odd", F.col("even").isNull())
+    cells = materialize(cells.select("cell", "cls", F.col("document_id").alias("doc"), "odd"), "cells")
+    links = materialize(links, "class_links")
+
+    def met(which: DataFrame, odd_a: bool, odd_b: bool) -> DataFrame:
+        """Admissible pairs of cells by link of classes (la, lb)."""
+        a = cells.where(F.col("odd") == odd_a).select(F.col("cell").alias("a"), F.col("cls").alias("la"), F.col("doc").alias("doc_a"))
+        b = cells.where(F.col("odd") == odd_b).select(F.col("cell").alias("b"), F.col("cls").alias("lb"), F.col("doc").alias("doc_b"))
+        both = which.select(F.col("a").alias("la"), F.col("b").alias("lb"), "score").join(a, "la").join(b, "lb")
+        return _without_versions(both.where("doc_a <> doc_b"), versions, "doc_a", "doc_b").select("la", "lb", "score", "a", "b")
+
+    odd = materialize(met(links, True, True), "odd")
+    # First cells that are linked need no other link to the other class's cells: those hang on its first cell.
+    done = odd.where("a = la AND b = lb").select("la", "lb", F.lit(True).alias("done"))
+    left = met(links, True, False).join(done, ["la", "lb"], "left").where("done IS NULL OR a <> la")
+    star = left.where("la = lb AND a = la")
+    left = left.where("la <> lb OR a <> la").groupBy("la", "lb", "score", "a").agg(F.min("b").alias("b"))
+    right = met(links.where("a <> b"), False, True).join(done, ["la", "lb"], "left").where("done IS NULL OR b <> lb")
+    right = right.groupBy("la", "lb", "score", "b").agg(F.min("a").alias("a"))
+    columns = ["la", "lb", "score", "a", "b"]
+    found = odd.select(columns).unionByName(star.select(columns)).unionByName(left.select(columns)).unionByName(right.select(columns))
+    found = materialize(found, "found")
+    # A first cell without a link to a class shares its document or versions with all of that class's cells, which are few.
+    rest = links.where("a <> b").join(found.where("a = la").select(F.col("la").alias("a"), F.col("lb").alias("b")), ["a", "b"], "left_anti")
+    last = met(rest, False, False).groupBy("la", "lb", "score").agg(F.min(F.struct("a", "b")).alias("p"))
+    found = materialize(found.select("a", "b", "score").unionByName(last.select("p.a", "p.b", "score")), "cell_links")
+    # A cell's other chunks take one of its partners.
+    sides = found.select("a", "b", "score").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    partner = sides.groupBy(F.col("a").alias("cell")).agg(F.min(F.struct("b", "score")).alias("p"))
+    cell = classes.withColumn("cell", F.min("chunk_id").over(Window.partitionBy("cls", "document_id"))).where("chunk_id <> cell")
+    others = cell.join(partner, "cell").select(F.col("chunk_id").alias("a"), F.col("p.b").alias("b"), "p.score")
+    every = found.unionByName(others)
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
+
+
 def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     """Adds ``cluster_id`` from 1, in order of the smallest chunk of each cluster."""
     parts = materialize(connected_components(pairs, "chunk_a_id", "chunk_b_id"), "clusters")

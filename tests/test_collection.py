@@ -1,5 +1,7 @@
 """Ingest, integrity, graph and streaming over small hand-made documents."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,32 @@ def test_contradictions(spark):
     assert integrity.contradictions(df.withColumn("document_id", F.lit(1).cast("long")), no_versions(spark)).count() == 0
 
 
+def test_duplicates_of_copies_in_versions_and_documents(spark):
+    t, u = "alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta theta iota"
+    rng = random.Random(3)
+    tables = [
+        ([(1, 1, t), (2, 2, t), (3, 3, t)], [(2, 1)]),
+        ([(1, 1, t), (2, 1, u), (3, 2, t), (4, 3, u)], []),
+        ([(1, 1, t), (2, 1, t), (3, 2, u), (4, 2, t)], []),
+    ]
+    tables += [([(i, rng.randint(1, 4), rng.choice((t, u))) for i in range(1, 8)], [(2, 1), (3, 2)][: rng.randint(0, 2)]) for _ in range(3)]
+    for rows, versions in tables:
+        near = spark.createDataFrame(versions, "current_id long, outdated_id long")
+        df = spark.createDataFrame(rows, "chunk_id long, document_id long, text string")
+        right = {(a, b) for a, d, _ in rows for b, e, _ in rows if a < b and d != e and (d, e) not in versions and (e, d) not in versions}
+        got = [(r[0], r[1]) for r in integrity.duplicate_pairs(df, near, 0.5).collect()]
+        assert set(got) <= right and len(set(got)) == len(got)
+        assert parts(got) == parts(right), (rows, versions)
+
+
+def parts(pairs):
+    groups = []
+    for a, b in pairs:
+        hit = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in hit] + [set().union({a, b}, *hit)]
+    return sorted(map(sorted, groups))
+
+
 def test_definition_conflicts(spark):
     a, b = "Customer is defined as a paying account.", "Customer is defined as anyone who saw an advert."
     df = spark.createDataFrame(chunk_rows(a, b, a), CHUNK)
