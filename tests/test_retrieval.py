@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from docloom.operators import bm25, dense, evaluation, fusion
 from docloom.operators.lsa import LsaEncoder
 from docloom.operators.rerank import TfidfReranker
+from docloom.plans import retrieval_queries
 from docloom.plans.tables import new_path
+from tests.test_oracles import SF
 
 CHUNKS = [
     (1, "Staff may work from home three days a week."),
@@ -116,3 +118,17 @@ def test_ground_truth(spark, chunks):
     cases = spark.createDataFrame([("c1", "a", "second part"), ("c2", "a", "nowhere")], "case_id string, doc string, snippet string")
     got = {r["case_id"]: (r["chunk"], r["chunk_found"]) for r in evaluation.resolve_snippets(cases, docs, parts, "doc", "snippet", "chunk").collect()}
     assert got == {"c1": (11, True), "c2": (10, False)}
+
+
+def test_lsa_query_runs_at_full_size(spark, monkeypatch):
+    made = []
+
+    class Seen(LsaEncoder):
+        def fit(self, chunks):
+            made.append((self.dims, self.max_features, self.steps))
+            raise InterruptedError
+
+    monkeypatch.setattr(retrieval_queries, "LsaEncoder", Seen)
+    with pytest.raises(InterruptedError):
+        retrieval_queries.lsa_topk(spark, SF)
+    assert made == [(100, 20_000, 6)]
