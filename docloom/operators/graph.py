@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import facts, fixed
 from docloom.functions.text import normalize_blanks, split_tags
+from docloom.operators.ingest import number_rows
 from docloom.plans.tables import materialize
 
 
@@ -53,8 +54,9 @@ def extract_entities(documents: DataFrame) -> DataFrame:
     )
     rows = rows.unionByName(group)
     first = rows.groupBy("entity_type", "name").agg(F.min(F.struct("id", "pos", "chunk")).alias("f"))
-    number = F.row_number().over(Window.orderBy("f.id", "f.pos")).cast("bigint")
-    return first.select(number.alias("id"), "name", "entity_type", F.col("f.chunk").alias("first_seen_chunk_id"), F.lit(True).alias("canonical"))
+    first = first.select("name", "entity_type", F.col("f.chunk").alias("first_seen_chunk_id"), F.col("f.id").alias("doc"), F.col("f.pos").alias("pos"))
+    numbered = number_rows(first, ["doc", "pos"], 1, "number")
+    return numbered.select(F.col("number").alias("id"), "name", "entity_type", "first_seen_chunk_id", F.lit(True).alias("canonical"))
 
 
 def _NONE() -> Column:

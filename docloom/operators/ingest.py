@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import approx_tokens, chunk_texts
-from docloom.plans.tables import materialize
+from docloom.plans.tables import materialize, running_totals
 from docloom.sources.documents import parse_documents, scan_files
 from docloom.sources.records import read_table, write_table
 
@@ -18,20 +18,9 @@ def chunk_documents(documents: DataFrame, doc_id: str = "id", body: str = "raw_t
 
 
 def number_rows(rows: DataFrame, order: list[str], start: int, out: str) -> DataFrame:
-    """Adds consecutive numbers from ``start`` in ``order``.
-
-    Rows are range-partitioned, counted per partition and numbered inside each:
-    the driver sees one count a partition, and no task sees all rows.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "placed")
-    before, offsets = start, {}
-    for r in placed.groupBy("__part").count().orderBy("__part").collect():
-        offsets[r["__part"]] = before
-        before += r["count"]
-    offset = F.expr(f"element_at(map({','.join(f'{k},{v}L' for k, v in offsets.items())}), __part)") if offsets else F.lit(0)
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return placed.withColumn(out, (offset + inside).cast("bigint")).drop("__part")
+    """Adds consecutive numbers from ``start`` in ``order``, which leaves no ties."""
+    numbered = running_totals(rows, order, {out: F.lit(1)}, "numbered")
+    return numbered.withColumn(out, (F.col(out) + start).cast("bigint"))
 
 
 def check_batch(parsed: DataFrame) -> None:

@@ -11,6 +11,7 @@ from docloom.functions import facts, fixed
 from docloom.functions.authority import higher_authority, severity
 from docloom.functions.text import jaccard_words, ngram_terms
 from docloom.operators.components import connected_components
+from docloom.operators.ingest import number_rows
 from docloom.operators.rerank import tfidf_weights
 from docloom.plans.tables import materialize
 
@@ -144,8 +145,7 @@ def _member_links(classes: DataFrame, links: DataFrame, versions: DataFrame) ->
 def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     """Adds ``cluster_id`` from 1, in order of the smallest chunk of each cluster."""
     parts = materialize(connected_components(pairs, "chunk_a_id", "chunk_b_id"), "clusters")
-    number = F.row_number().over(Window.orderBy("component")).cast("bigint")
-    named = parts.select("component").distinct().withColumn("cluster_id", number)
+    named = number_rows(parts.select("component").distinct(), ["component"], 1, "cluster_id")
     labels = parts.join(named, "component").select(F.col("node").alias("chunk_a_id"), "cluster_id")
     return pairs.join(labels, "chunk_a_id").select("chunk_a_id", "chunk_b_id", "similarity_score", "cluster_id")
 

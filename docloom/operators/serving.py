@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed
 from docloom.functions.authority import authority_description, authority_label, outdated_reason, ranking_explanation, relative_confidence, resolution_reason
 from docloom.functions.text import matched_terms
+from docloom.operators.ingest import number_rows
 
 METHODS = ("bm25", "dense", "hybrid", "hybrid_rerank")
 
@@ -182,7 +183,8 @@ def integrity_cases(conflicts: DataFrame, duplicates: DataFrame, outdated: DataF
     """
 
     def case(df: DataFrame, prefix: str, order: list[str], title: Column, level: Column) -> DataFrame:
-        n = F.row_number().over(Window.orderBy(*order)).cast("string")
+        df = number_rows(df, order, 1, "__no")
+        n = F.col("__no").cast("string")
         number = F.concat(F.lit(prefix), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))
         return df.select(number.alias("case_id"), F.lit(prefix[:3]).alias("kind"), title.alias("title"), level.alias("severity"))
 

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -45,3 +46,24 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_totals(rows: DataFrame, order: list, totals: dict[str, Column], label: str = "ranges") -> DataFrame:
+    """Adds, for each name in ``totals``, the sum of its value over all rows before, in a global ``order``.
+
+    Rows are range-sorted, so one value of the first key may fill many ranges.
+    Sums per range (one row for each shuffle partition, whatever the data's
+    size) are run up and broadcast; the rest is added inside each range. No
+    task sees all rows. ``order`` should leave no ties; nulls of a value count 0.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = {f"__v{i}": F.coalesce(v, F.lit(0)) for i, v in enumerate(totals.values())}
+    placed = rows.withColumns(values).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    placed = materialize(placed, label)
+    whole = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__part").agg(*(F.sum(v).alias(f"__s{v}") for v in values))
+    sums = sums.select("__part", *(F.coalesce(F.sum(f"__s{v}").over(whole), F.lit(0)).alias(f"__b{v}") for v in values))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.join(F.broadcast(sums), "__part")
+    added = {n: F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"__b{v}") for n, v in zip(totals, values, strict=True)}
+    return placed.withColumns(added).drop("__part", *values, *(f"__b{v}" for v in values))
