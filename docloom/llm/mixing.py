@@ -2,25 +2,23 @@
 
 Weighted fair queueing: a source's documents stand in shuffled order and each
 copy of a document gets a virtual finish time, the source's words up to its end
-over the source's target. All copies are put in one global order of finish
-times and cut where their words reach the total budget.
+over the source's target. All copies are range-sorted by finish time and
+truncated where their words reach the total budget.
 
-Running totals go over whole sources and over all copies, so both are made in
-two levels: sums by (source, slice of the shuffle) or by slice of virtual time,
-running totals over these few sums, then running totals inside a slice. No
-task holds a whole source, however large.
+Running totals (over the sources, over each source's documents, over all
+copies) come from global range sorts: sums per range, run up, then totals
+inside each range. A source that holds a third of all rows fills a third of the
+ranges; no task holds a whole source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.tables import materialize
+from docloom.plans.tables import materialize, running_totals
 
 WEIGHTS, SHARE, MAX_REPEAT = (5.0, 2.0, 1.0), 1.5, 2
-#: Slices of a source's shuffled order, and of a unit of virtual time.
-SLICES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -29,49 +27,28 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT) -> DataFrame:
-    """(source, source_size, target) from rows (source, size).
-
-    Weights repeat along the sources in code-point order, null last. Targets
-    share ``share`` of all sizes by weight; where one would be over ``repeat``
-    times its source's size it stops there and the rest is shared out anew.
-    That is the level t at which the sum of min(t weight, repeat size) is the
-    budget; it lies between two of the sources' own levels, which are few, so
-    it is found with one running total over them.
+    """(source, source_size, before, target) from rows (source, size).
+
+    Weights repeat along the sources in code-point order, null last; ``before``
+    is the size of all sources ahead of one in this order. Targets share
+    ``share`` of all sizes by weight; where one would be over ``repeat`` times
+    its source's size it stops there and the rest is shared out anew. That is
+    the level t at which the sum of min(t weight, repeat size) is the budget; it
+    lies between two of the sources' own levels, so one running total over them
+    in order of level finds it. Three numbers come to the driver.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(repeat))
-    per = per.withColumn("level", F.col("cap") / F.col("weight"))
-    everyone = Window.partitionBy()
-    by_level = Window.orderBy("level", F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    per = (
-        per.withColumn("budget", F.sum("source_size").over(everyone) * share)
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("t", (F.col("budget") - F.col("capped")) / F.col("open"))
-    )
+    by_name = F.col("source").asc_nulls_last()
+    per = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    per = running_totals(per, [by_name], {"rank": F.lit(1), "before": F.col("source_size")}, "ranked")
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
+    per = per.withColumn("cap", F.col("source_size") * float(repeat)).withColumn("level", F.col("cap") / F.col("weight"))
+    levels = running_totals(per, ["level", by_name], {"capped": F.col("cap"), "lighter": F.col("weight")}, "levels")
+    total, heavy = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    levels = levels.withColumn("t", (F.lit((total or 0) * share) - F.col("capped")) / (F.lit(heavy or 1.0) - F.col("lighter")))
     # The first source, by level, that the level reached before it doesn't fill sets the level of all.
-    level = F.min(F.when(F.col("t") <= F.col("level"), F.struct("level", F.col("source").isNull(), "source", "t"))).over(everyone)
-    target = F.least(F.col("cap"), F.coalesce(level["t"] * F.col("weight"), F.col("cap")))
-    return per.select("source", "source_size", target.alias("target"))
-
-
-def _running(rows: DataFrame, groups: list[str], slice_of: str, order: list, value: str, out: str) -> DataFrame:
-    """Add ``out``, the sum of ``value`` before a row in ``order`` within ``groups``.
-
-    ``slice_of`` names the slice, which must not fall along the order.
-    """
-    sums = rows.groupBy(*groups, slice_of).agg(F.sum(value).alias("__sum"))
-    whole = Window.partitionBy(*groups).orderBy(slice_of).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(whole), F.lit(0).cast("long"))).drop("__sum")
-    sums = sums.withColumnsRenamed({c: f"__{c}" for c in [*groups, slice_of]})
-    same = [rows[c].eqNullSafe(sums[f"__{c}"]) for c in [*groups, slice_of]]
-    inside = Window.partitionBy(*groups, slice_of).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = rows.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0).cast("long")))
-    joined = within.join(sums, same).withColumn(out, F.col("__in") + F.col("__before"))
-    return joined.drop("__in", "__before", *(f"__{c}" for c in [*groups, slice_of]))
+    first = levels.where("t <= level").agg(F.min(F.struct("level", F.col("source").isNull().alias("last"), "source", "t"))).first()[0]
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first["t"]) * F.col("weight"))
+    return per.select("source", "source_size", "before", target.alias("target"))
 
 
 def mix_sources(
@@ -100,30 +77,20 @@ def mix_sources(
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = materialize(rows.withColumn("u", order), "sizes")
     targets = materialize(source_targets(rows, weights, share, repeat), "targets")
-    few = targets.withColumnsRenamed({c: f"t_{c}" for c in ("source",)})
-    rows = rows.withColumn("slice", F.conv(F.substring("u", 1, 3), 16, 10).cast("int"))
-    rows = _running(rows, ["source"], "slice", ["u", "doc_id", "size"], "size", "start")
-    # AQE may broadcast the targets; they are one row per source.
-    rows = rows.join(few, rows["source"].eqNullSafe(few["t_source"])).drop("t_source", "slice")
-    rows = materialize(rows, "queued")
+    by_name = F.col("source").asc_nulls_last()
+    rows = running_totals(rows, [by_name, "u", "doc_id", "size"], {"start": F.col("size")}, "queue")
+    # One row per source: broadcast while small, else joined by a shuffle that AQE splits at hot sources.
+    few = targets.withColumnRenamed("source", "t_source")
+    rows = rows.join(few, rows["source"].eqNullSafe(few["t_source"])).drop("t_source")
+    rows = materialize(rows.withColumn("start", F.col("start") - F.col("before")).drop("before"), "queued")
     copies = rows.where("size > 0 AND target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
     end = F.col("copy") * F.col("source_size") + F.col("start") + F.col("size")
-    copies = copies.withColumn("finish", end / F.col("target")).withColumn("middle", (end - F.col("size") / 2) / F.col("target"))
     # Virtual time ends at about 1; what is far beyond needs no place in the order.
-    copies = copies.where("finish < 2 OR middle < 2")
-    step = F.floor(F.col("finish") * SLICES)
-    slices = copies.groupBy(step.alias("slice")).agg(F.sum("size").alias("s"))
+    copies = copies.select("source", "u", "doc_id", "copy", "size", (end / F.col("target")).alias("finish")).where("finish < 2")
+    queue = running_totals(copies, ["finish", by_name, "u", "doc_id", "copy"], {"used": F.col("size")}, "copies")
     # Two single numbers come to the driver: the total budget, and the virtual time at which it is used up.
     budget = targets.agg(F.round(F.sum("target"), 6)).first()[0] or 0.0
-    upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = slices.withColumn("r", F.sum("s").over(upto)).where(F.col("r") >= budget)
-    cut = reached.orderBy("slice").select("slice", (F.col("r") - F.col("s")).alias("before")).first()
-    ends = None
-    if cut is not None:
-        within = copies.where(step == cut["slice"])
-        inside = Window.orderBy("finish", F.col("source").asc_nulls_last(), "u", "doc_id", "copy")
-        total = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + cut["before"]
-        ends = within.withColumn("r", total).where(F.col("r") >= budget).agg(F.min("finish")).first()[0]
+    ends = queue.where(F.col("used") + F.col("size") >= budget).agg(F.min("finish")).first()[0]
     ends = F.lit(1.0 if ends is None else float(ends))
     # A copy is taken if its middle comes before the time at which the budget is used up.
     middle = lambda c: (c * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.col("target")
