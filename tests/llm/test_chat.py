@@ -57,3 +57,15 @@ def test_injected_conversation(spark):
     t = chat.INJECTED
     assert r["n_turns"] == 2 and r["loss_chars"] == len(t)
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
+
+
+def test_thousands_of_turns(spark):
+    import time
+
+    for roles in (("user", "assistant"), ("assistant",)):
+        rows = [(1, i, roles[i % len(roles)], f"t{i} <|im_end|> " * 5) for i in range(32_000)]
+        began = time.time()
+        r = back(spark, rows).first()
+        assert time.time() - began < 60
+        assert r["loss_text"] == "".join(t for _, _, role, t in rows if role == "assistant")
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [x[2:] for x in rows]
