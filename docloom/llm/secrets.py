@@ -4,10 +4,16 @@ Pattern matches (assignments, access ids, long hex) are reported as they are.
 Base64 and hex runs, PEM blocks and dotted tokens are decoded first and
 reported only where the bytes parse: as DER with exactly nested lengths in the
 shape of a private key, as an OpenSSH key with exactly nested strings, or as a
-signed token with a JSON header that names its algorithm. Random runs, public
-keys and certificates don't parse so and are left alone.
-
-Scanning is a narrow step over whole texts: no shuffle, no state.
+signed token with a JSON header that names its algorithm. Base64 may be wrapped
+over lines. An encrypted PEM key can't be parsed inside; its headers must name
+a cipher and an initial vector, and its bytes must be whole blocks that aren't
+plain text. Random runs, public keys and certificates don't parse so and are
+left alone. Bare keys are looked for up to ``KEY_BYTES``, token headers up to
+``HEADER_CHARS``.
+
+Scanning is a narrow step over whole texts: no shuffle, no state. Its time is
+linear in a text's length: PEM marks are paired in one walk, and what follows
+from a candidate's start is bounded by the two constants.
 """
 
 from __future__ import annotations
@@ -33,17 +39,22 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ANYHEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{80,}(?![0-9A-Za-z])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+NEXT_LINE = re.compile(r"(?:\r\n|\n|\r|\\n)[\x20\t]*([A-Za-z0-9+/_-]+={0,2})")
+ANYHEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?([0-9A-Fa-f]{64,})(?![0-9A-Za-z])")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+#: Where a token's header may begin: at a boundary, with what base64 makes of a brace and a quote or blank.
+HEADER = re.compile(r"(?:^|(?<=[-_]))e(?:yJ|yA|wo|w0|wk)")
+KEY_BYTES, HEADER_CHARS = 1 << 14, 4096
+OPENSSH = base64.b64encode(b"openssh-key-v1").decode()[:18]
 
 #: For each pattern, one that RE2 searches whole batches for; only rows that it finds are scanned in Python.
 SIEVES = {
     "assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]",
     "access": r"AKIA[A-Z0-9]",
     "hex": r"[0-9a-f]{32}",
-    "run": r"[A-Za-z0-9+/_-]{40}|-----BEGIN [A-Z0-9 ]*PRIVATE KEY|[A-Za-z0-9_-]{10}\.[A-Za-z0-9_-]+\.",
+    "run": r"[A-Za-z0-9+/_-]{40}|-----BEGIN [A-Z0-9 ]*PRIVATE KEY|e(?:yJ|yA|wo|w0|wk)[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.",
 }
 
 Span = tuple[str, int, int]
@@ -156,24 +167,93 @@ def base_spans(text: str, want: tuple[str, ...] = ("assign", "access", "hex")) -
     return out
 
 
+def pem_key(body: str) -> bool:
+    """Whether the lines between PEM marks hold a private key, in the open or encrypted."""
+    lines = re.split(r"[\r\n]+|\\n", body)
+    data = decode64(re.sub(r"\s+", "", "".join(x for x in lines if ":" not in x)))
+    if not data:
+        return False
+    if private_key(data):
+        return True
+    headers = dict(x.strip().split(":", 1) for x in lines if ":" in x)
+    iv = re.fullmatch(r"\s*[A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s*", headers.get("DEK-Info", ""))
+    if not iv or headers.get("Proc-Type", "").replace(" ", "") != "4,ENCRYPTED":
+        return False
+    return len(data) >= 48 and len(data) % (len(iv[1]) // 2) == 0 and not data.isascii()
+
+
+def pem_spans(text: str) -> list[Span]:
+    """Key blocks from a BEGIN mark to the END mark of its label, if no other mark stands between them."""
+    out, begun = [], None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+            continue
+        if begun and begun[2] == m[2] and pem_key(text[begun.end() : m.start()]):
+            out.append(("key", begun.start(), m.end()))
+        begun = None
+    return out
+
+
+def _wrapped_end(text: str, m: re.Match) -> int | None:
+    """Where the key ends that begins with the run ``m`` and goes on in the next lines, or None."""
+    if m[0][0] == "M":
+        head = decode64(m[0][:8]) or b""
+        more = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
+        if head[:1] != b"\x30" or not 1 <= more <= 3:
+            return None
+        size = 2 + more + int.from_bytes(head[2 : 2 + more])
+        need = -(-size * 4 // 3) if size <= KEY_BYTES else 0
+    else:
+        need = KEY_BYTES * 4 // 3 if m[0].startswith(OPENSSH) else 0
+    parts, got, end = [m[0]], len(m[0]), m.end()
+    while got < need and (line := NEXT_LINE.match(text, end)) and not line[1].startswith(OPENSSH):
+        parts.append(line[1])
+        got, end = got + len(line[1]), line.end()
+        if len(line[1]) < len(m[0]):
+            break
+    data = decode64("".join(parts)) if len(parts) > 1 else None
+    return end if data and private_key(data) else None
+
+
+def token_spans(text: str) -> list[Span]:
+    """Three dotted parts that parse as a signed token; its header may follow a dot, dash or underscore."""
+    out = []
+    for m in DOTTED.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            a, b, c = parts[i : i + 3]
+            found = None
+            for h in HEADER.finditer(a, max(0, len(a) - HEADER_CHARS)):
+                if signed_token(a[h.start() :], b, c):
+                    found = h.start()
+                    break
+            used = 1
+            if found is not None:
+                out.append(("token", at + found, at + len(a) + len(b) + len(c) + 2))
+                used = 3
+            at += sum(len(p) + 1 for p in parts[i : i + used])
+            i += used
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
-    out: list[Span] = []
-    for m in PEM.finditer(text):
-        body = "".join(x for x in re.split(r"[\r\n]+|\\n", m[2]) if ":" not in x)
-        data = decode64(re.sub(r"\s+", "", body))
-        sealed = "Proc-Type" in m[2] and data and len(data) >= 16
-        if data and (sealed or private_key(data)):
-            out.append(("key", m.start(), m.end()))
-    inside = [(s, e) for _, s, e in out]
+    out = pem_spans(text)
+    inside, k, done = list(out), 0, 0
     for m in BASE64.finditer(text):
+        while k < len(inside) and inside[k][2] <= m.start():
+            k += 1
+        if m.start() < done or (k < len(inside) and inside[k][1] <= m.start()):
+            continue
         data = decode64(m[0])
-        if data and private_key(data) and not any(s <= m.start() < e for s, e in inside):
-            out.append(("key", m.start(), m.end()))
+        end = m.end() if data and private_key(data) else _wrapped_end(text, m)
+        if end:
+            out.append(("key", m.start(), end))
+            done = end
     for m in ANYHEX.finditer(text):
-        if not len(m[0]) % 2 and private_key(bytes.fromhex(m[0])):
-            out.append(("key", m.start(), m.end()))
-    out += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[1], m[2], m[3])]
-    return out
+        if not len(m[1]) % 2 and private_key(bytes.fromhex(m[1])):
+            out.append(("key", m.start(1), m.end()))
+    return out + token_spans(text)
 
 
 def in_order(spans: list[Span]) -> list[Span]:

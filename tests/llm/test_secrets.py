@@ -108,3 +108,37 @@ def test_nulls_empty_and_long_texts_repeats_and_clashing_columns(spark):
 def test_redaction(spark):
     df = docs(spark, [(1, "a password=abcdefgh12 b " + "f" * 40), (2, None), (3, "clean")])
     assert tuples(secrets.redact_secrets(df), "doc_id", "text") == [(1, "a [SECRET] b [SECRET]"), (2, None), (3, "clean")]
+
+
+def test_wrapped_prefixed_and_glued_secrets():
+    wrapped = base64.encodebytes(RSA).decode().strip()
+    assert ("key", wrapped) in kinds(f"x\n{wrapped}\ny")
+    ssh = base64.encodebytes(SSH).decode().strip()
+    assert ("key", ssh) in kinds(f"x\n{ssh}\n\ny")
+    assert ("key", EC.hex().upper()) in kinds(f"x 0x{EC.hex().upper()} y")
+    small = der(0x30, der(2, b"\1") + der(4, bytes(range(32))))
+    assert len(small.hex()) == 78 and ("key", small.hex()) in kinds(f"x {small.hex()} y")
+    good = jwt({"alg": "HS256"}, {"sub": "1"})
+    for before in ("v1.", "a-", "x_", "www.example."):
+        assert ("token", good) in kinds(f"see {before}{good} .")
+
+
+def test_sealed_keys_need_structure():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{iv}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    sealed = b64(bytes(200 + k % 50 for k in range(96)))
+    assert [k for k, _ in kinds(pem.format(iv="0" * 32, body=sealed))].count("key") == 1
+    assert "key" not in [k for k, _ in kinds(pem.format(iv="0" * 32, body=b64(b"a plain sentence, no more than that, " * 4)))]
+    assert "key" not in [k for k, _ in kinds(pem.format(iv="zz", body=sealed))]
+    assert "key" not in [k for k, _ in kinds(pem.format(iv="0" * 32, body=sealed).replace("Proc-Type", "Other"))]
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    for piece in ("-----BEGIN RSA PRIVATE KEY-----\n", "-eyJ" * 30 + ".", "MII" + "A" * 61 + "\n", "e30." * 10, "0x" + "ab" * 40 + " ", OPEN):
+        began = time.time()
+        secrets.scan_texts([piece * (2_000_000 // len(piece))])
+        assert time.time() - began < 20, piece
+
+
+OPEN = b64(SSH)[:64] + "\n"
