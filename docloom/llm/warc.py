@@ -4,11 +4,13 @@ Each archive trains a Zstandard dictionary from its own records, stores it in a
 leading skippable frame (magic 0x184D2A5D) and compresses every record as a
 frame of its own with that dictionary, so a record can be read alone.
 
-Archives are written by tasks, each under a bounded size, first to a name of
-the attempt and then renamed to the name of the task and its number: a task
-that runs again replaces what it wrote. Records whose payload another record
-holds become revisits; which one holds it is decided on digests alone, and
-payloads are shuffled once, by page.
+Archives are written by tasks, each under a bounded size, under names that no
+other attempt uses, and Spark commits their names as a table, the manifest, in
+which only attempts that succeeded have rows. Readers open what the manifest
+lists, so a task that runs again, in whatever order its rows then come, leaves
+at most files that nobody reads. Records whose payload another record holds
+become revisits; which one holds it is decided on digests alone, and payloads
+are shuffled once, by page.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -122,35 +125,34 @@ def _write(folder: str):
         fs.create_dir(root, recursive=True)
         number, records, held = 0, [], 0
 
-        def flush() -> tuple[int, int]:
+        def flush() -> pa.RecordBatch:
             nonlocal number, records, held
-            name = f"part-{task.partitionId():06d}-{number:05d}.warc.zst"
-            trial = f"{root}/_{name}.{task.taskAttemptId()}"
+            name = f"part-{task.partitionId():06d}-{number:05d}-{uuid.uuid4().hex}.warc.zst"
             data = pack_archive(records)
-            with fs.open_output_stream(trial) as out:
+            # The name's ending must not make the stream compress the archive once more.
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(data)
-            fs.move(trial, f"{root}/{name}")
-            got = (len(records), len(data))
+            row = pa.RecordBatch.from_pydict({"name": [name], "records": [len(records)], "bytes": [len(data)]}, WRITTEN)
             number, records, held = number + 1, [], 0
-            return got
+            return row
 
-        done = []
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(6)]
             for page, url, digest, payload, size, refers in zip(*columns, strict=True):
                 name = base64.b32encode(bytes.fromhex(digest)).decode()
-                records.append(record(page, url, name, None if payload is None else payload, size, refers))
+                records.append(record(page, url, name, payload, size, refers))
                 held += len(records[-1])
                 if held >= ARCHIVE_BYTES:
-                    done.append(flush())
+                    yield flush()
         if records:
-            done.append(flush())
-        yield pa.RecordBatch.from_pydict({"records": [d[0] for d in done], "bytes": [d[1] for d in done]}, WRITTEN)
+            yield flush()
 
     return write
 
 
-WRITTEN = pa.schema([("records", pa.int64()), ("bytes", pa.int64())])
+WRITTEN = pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+#: Folder of the manifest within that of the archives.
+MANIFEST = "_manifest"
 
 
 def write_warc(
@@ -162,7 +164,9 @@ def write_warc(
     equal payloads of at least ``min_bytes`` bytes, the one with the largest id
     is a response and the others revisit it. Rows that tie for the largest id
     (repeated rows) are all responses, as are rows of payloads that have no id
-    at all. Other columns are dropped; an empty table writes no archive.
+    at all. Other columns are dropped; an empty table writes no archive. The
+    folder's manifest is replaced: archives that another call wrote there are
+    no longer read.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
@@ -177,11 +181,22 @@ def write_warc(
     out = rows.join(role, same, "left").select(
         "page_id", "url", "digest", F.when(F.col("r_digest").isNull(), F.col("payload")).alias("payload"), "size", "top"
     )
-    done = out.mapInArrow(_write(folder), "records long, bytes long")
-    got = done.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    done = out.mapInArrow(_write(folder), "name string, records long, bytes long")
+    done.write.mode("overwrite").parquet(f"{folder}/{MANIFEST}")
+    listed = manifest(pages.sparkSession, folder)
+    got = listed.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     return tuple(got)
 
 
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, records, bytes) of the archives that :func:`write_warc` finished in ``folder``; none if it never ran."""
+    fs, root = file_system(folder)
+    schema = "name string, records long, bytes long"
+    if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.NotFound:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/{MANIFEST}")
+
+
 RECORD = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -207,18 +222,22 @@ PA_RECORD = pa.schema(
 
 
 def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """The records of all archives in ``folder``, one row each.
+    """The records of all archives that the folder's manifest lists, one row each.
 
     A response's digest is computed anew from its payload and must be the one
     in its header. A revisit has no payload; its size and digest are those of
-    the payload that it refers to. ``payload`` False leaves payloads out.
+    the payload that it refers to. ``payload`` False leaves payloads out. A
+    folder without a manifest has no records.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
         for batch in batches:
-            for data in batch.column(0):
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stored:
+                    data = stored.read()
                 rows, held = [], 0
-                for headers, block in unpack_archive(data.as_py()):
+                for headers, block in unpack_archive(data):
                     head, _, body = block.partition(b"\r\n\r\n")
                     digest = headers["warc-payload-digest"].removeprefix("sha1:")
                     kind = headers["warc-type"]
@@ -244,11 +263,8 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFra
                 if rows:
                     yield _batch(rows)
 
-    fs, root = file_system(folder)
-    if fs.get_file_info(root).type == pafs.FileType.NotFound:
-        return spark.createDataFrame([], RECORD)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder)
-    return files.select("content").mapInArrow(read, RECORD)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return manifest(spark, folder).select("name").repartition(parts, "name").mapInArrow(read, RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -102,3 +102,16 @@ def test_extra_columns(spark):
     folder = new_path(spark, "warc-test")
     warc.write_warc(df, folder)
     assert [r["payload"] for r in read(spark, folder)] == [b"x"]
+
+
+def test_only_what_the_manifest_lists_is_read(spark):
+    folder, _ = write(spark, ROWS)
+    fs, root = warc.file_system(folder)
+    # What an attempt that failed, or a task that ran again, may leave behind.
+    with fs.open_output_stream(f"{root}/part-000000-00000-lost.warc.zst", compression=None) as out:
+        out.write(warc.pack_archive([warc.record(99, "u", digest("x"), b"x", 1, None)]))
+    assert len(read(spark, folder)) == len(ROWS)
+    # Rows written anew, in another order and cut otherwise, replace the first archives.
+    warc.write_warc(spark.createDataFrame(ROWS[::-1], PAGE).repartition(3), folder)
+    assert len(read(spark, folder)) == len(ROWS)
+    assert warc.read_warc(spark, new_path(spark, "nothing")).count() == 0
