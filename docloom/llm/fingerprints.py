@@ -11,9 +11,12 @@ or deleting one adds or subtracts its vector alone. A vector has two parts:
 * ``LANES`` lanes modulo 2^32, each counting the paragraph's word triples whose
   hash has the bit of that lane set. Less half the number of triples they are
   random projections of the triples' counts, so the cosine of two documents'
-  lanes estimates how alike their texts are.
+  lanes estimates how alike their texts are. Over 64 lanes the estimate has a
+  standard deviation of (1 - c^2) / 8 about a true cosine c, whatever the
+  texts' length: 0.07 at two thirds, and 0.125 for unrelated texts, of which
+  one in twenty seems to have 0.21 or more.
 
-Lanes are held two to a long, in 32 bits each.
+Lanes are held two to a long, in 32 bits each, and added and subtracted apart.
 """
 
 from __future__ import annotations
@@ -111,9 +114,19 @@ def fingerprint_columns(text: Column) -> Column:
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """The fingerprint of both documents' paragraphs (``sign`` -1: of a's without b's)."""
+    """The fingerprint of both documents' paragraphs (``sign`` -1: of a's without b's).
+
+    All lanes are taken modulo 2^32, so subtracting undoes adding whatever the
+    two documents are.
+    """
+
+    def packed(x: Column, y: Column) -> Column:
+        low = _and(_and(x, MASK) + sign * _and(y, MASK), MASK)
+        high = _and(F.shiftrightunsigned(x, 32) + sign * F.shiftrightunsigned(y, 32), MASK)
+        return low.bitwiseOR(F.shiftleft(high, 32))
+
     exact = F.zip_with(a["exact"], b["exact"], lambda x, y: _and(x + sign * y, MASK))
-    lanes = F.zip_with(a["lanes"], b["lanes"], lambda x, y: x + sign * y)
+    lanes = F.zip_with(a["lanes"], b["lanes"], packed)
     return F.struct(exact.alias("exact"), lanes.alias("lanes"), (a["triples"] + sign * b["triples"]).alias("triples"))
 
 
@@ -164,50 +177,41 @@ def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("fp", fingerprint_columns(F.col(text))).withColumn("fingerprint", fingerprint_text(F.col("fp")))
 
 
-#: Fine ranges of ids that the driver sees counts of: its memory is bounded by this.
-FINE = 1 << 12
+def place_rows(rows: DataFrame, key: str, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """Add ``r``, the number of a row's range of keys (0 for a null); also (key, r) alone."""
+    keys = rows.select(key)
+    quantiles = F.percentile_approx(key, [i / ranges for i in range(1, ranges)] or [0.5], F.lit(10 * ranges))
+    cuts = sorted(set(keys.agg(quantiles).first()[0] or []))
+    literal = F.expr(f"array({','.join(f'bigint({str(c)!r})' for c in cuts)})")
+    number = F.size(F.filter(literal, lambda c: c < F.col(key))) if cuts else F.lit(0)
+    place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(number).cast("int")
+    return rows.withColumn("r", place), keys.withColumn("r", place)
 
 
 def with_next(docs: DataFrame, key: str, text: str, carried: list[str] = (), ranges: int | None = None) -> DataFrame:
     """Add ``next``, a struct of ``text`` and ``carried`` of the row after, by descending key.
 
     After the last row comes the first. Null keys are last; rows of one key are
-    in order of their texts. Keys are cut into ranges of about equal row counts
-    by a histogram of ``FINE`` counts, each range is one window, and the first
-    row of a range is copied to the end of the one before it: each text is
-    shuffled once and no task sees more than a few ranges. Other columns than
-    key, text and carried ones are dropped.
+    in order of their texts, and share a window, as do null keys. Keys are cut
+    into ranges of about equal row counts at quantiles, so ids may be dense,
+    sparse, clustered or at the ends of their type. Each range is one window,
+    and the first row of a range is copied to the end of the one before it:
+    each text is shuffled once. The driver sees a few numbers a range. Other
+    columns than key, text and carried ones are dropped.
     """
     spark = docs.sparkSession
     names = [text, *carried]
     rows = docs.select(F.col(key).cast("long").alias("k"), F.struct(*names).alias("v"))
-    ids = docs.select(F.col(key).cast("long").alias("k"))
-    low, high = ids.agg(F.min("k"), F.max("k")).first()
-    if low is None:
-        low = high = 0
-    width = (high - low) // FINE + 1
-    fine = F.coalesce(F.expr(f"cast((k - {low}L) div {width}L as int)"), F.lit(0))
-    counts = ids.groupBy(fine.alias("f")).agg(F.count("*").alias("n"), F.max("k").alias("top"))
-    found = sorted(counts.collect(), key=lambda r: r["f"])
-    ranges = ranges or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    each = max(1, -(-sum(r["n"] for r in found) // ranges))
-    coarse, tops, held = [0] * (found[-1]["f"] + 1 if found else 1), [None], 0
-    for r in found:
-        if held >= each:
-            tops.append(None)
-            held = 0
-        coarse[r["f"]] = len(tops) - 1
-        held += r["n"]
-        if r["top"] is not None:
-            tops[-1] = r["top"]
-    lookup = F.expr(f"array({','.join(map(str, coarse))})")
-    firsts = F.expr(f"array({','.join('cast(null as bigint)' if t is None else f'{t}L' for t in tops)})")
-    rows = rows.withColumn("r", F.get(lookup, fine))
+    rows, ids = place_rows(rows, "k", ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = sorted(tuple(r) for r in ids.groupBy("r").agg(F.max("k").alias("top")).collect())
+    used = [r for r, _ in found]
+    above = dict(zip(used, used[1:] + used[:1], strict=True))
+    tops, last = dict(found), max(used, default=0)
+    listed = lambda of, kind: F.expr(f"cast(array({','.join('null' if (x := of.get(r)) is None else f'bigint({str(x)!r})' for r in range(last + 1))}) as array<{kind}>)")
     # A range's first row stands once more after the last row of the range above; the very first one after all.
-    is_first = F.col("k").eqNullSafe(F.get(firsts, F.col("r")))
-    above = F.when(F.col("r") == len(tops) - 1, F.lit(0)).otherwise(F.col("r") + 1)
+    is_first = F.col("k").eqNullSafe(F.get(listed(tops, "bigint"), F.col("r")))
     places = F.array(F.struct(F.col("r").alias("r"), F.lit(False).alias("tail")))
-    twice = F.concat(places, F.array(F.struct(above.alias("r"), F.lit(True).alias("tail"))))
+    twice = F.concat(places, F.array(F.struct(F.get(listed(above, "int"), F.col("r")).alias("r"), F.lit(True).alias("tail"))))
     placed = rows.select("k", "v", F.explode(F.when(is_first, twice).otherwise(places)).alias("p")).select("k", "v", "p.*")
     order = Window.partitionBy("r").orderBy("tail", F.col("k").desc_nulls_last(), F.col(f"v.{text}"))
     return (

@@ -120,3 +120,29 @@ def test_clashing_columns(spark):
     df = docs(spark, [(1, "a b c")]).withColumnRenamed("lang", "fp").withColumnRenamed("source", "fingerprint")
     r = fp.fingerprint_documents(df).first()
     assert r["fingerprint"] == text_of(*brute("a b c")[:2])
+
+
+def test_ids_at_the_ends_and_in_clusters(spark, tmp_path):
+    ends = [(-(2**63), "a b"), (2**63 - 1, "c d"), (0, "e f"), (2**62, "g"), (2**62 + 1, "h i"), (2**62 + 2, "j")]
+    check(ends, result_over(spark, ends, tmp_path / "ends"))
+    dense = [(i, f"t{i}") for i in range(2000)] + [(2**60, "far")]
+    out = fp.with_next(docs(spark, dense), "doc_id", "text", ranges=16)
+    got = {r["doc_id"]: r["next"]["text"] for r in out.collect()}
+    assert got == {0: "far", 2**60: "t1999", **{i: f"t{i - 1}" for i in range(1, 2000)}}
+
+
+def test_ranges_hold_like_numbers_of_rows(spark):
+    df = docs(spark, [(i, "t") for i in range(2000)] + [(2**60, "far")])
+    sizes = []
+    for ranges in (4, 16):
+        placed = fp.place_rows(df.select(F.col("doc_id").alias("k")), "k", ranges)[0]
+        sizes.append(max(r["count"] for r in placed.groupBy("r").count().collect()))
+    assert sizes[0] < 700 and sizes[1] < 250
+
+
+def test_taking_away_what_was_never_there_can_be_undone(spark):
+    a, b = "one two three", "x " * 5000 + "\n" + "y z " * 3000
+    row = docs(spark, [(1, a)]).select(*(fp.fingerprint_columns(F.lit(t)).alias(n) for n, t in (("a", a), ("b", b))))
+    less = row.withColumn("less", fp.combine(F.col("a"), F.col("b"), -1))
+    c = less.select((fp.fingerprint_text(fp.combine(F.col("less"), F.col("b"))) == fp.fingerprint_text(F.col("a"))).alias("same")).first()
+    assert c["same"]
