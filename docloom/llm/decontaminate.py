@@ -7,11 +7,14 @@ k = floor((1 - threshold) u) + 1 smallest of its shingle hashes. A document that
 lacks all of them lacks more than the item can spare, so a probe of the sketches
 with a document's shingle hashes finds every leak, however long the document is.
 (A MinHash of the document itself would not: of thousands of shingles, few minima
-come from a short item.) Candidates are then verified on the shingles themselves.
+come from a short item.) Candidates are then verified on the shingles themselves:
+only the items' own shingles that stand in a candidate are counted.
 
 A probe is one pass over the documents joined with the sketches, whose size is
-checked before they are broadcast; bigger ones are joined by a shuffle. Pairs
-are counted per document and item before anything is shuffled.
+checked before they are broadcast; bigger ones are joined by a shuffle, which
+AQE splits where a frequent shingle fills a partition. The documents that it
+finds are written as a table of keys. Texts move only where that table outgrows
+Spark's own limit for broadcasts, else the candidates' texts are picked in place.
 """
 
 from __future__ import annotations
@@ -72,14 +75,15 @@ def find_leaks(
 
     ``doc_key`` is the text's hash: rows of one id but different texts are
     judged apart, repeated rows give one row. Items are distinct by id and
-    text. Null and wordless texts hold nothing and are held nowhere; an item of
-    fewer than five words leaks where these words stand in a row. Other columns
-    are ignored; an empty table on either side gives an empty result.
+    text; items without an id are items, too. Null and wordless texts hold
+    nothing and are held nowhere; an item of fewer than five words leaks where
+    these words stand in a row. Other columns are ignored; an empty table on
+    either side gives an empty result.
     """
     items = materialize(
         benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w")).distinct(), "items"
     )
-    sketch = materialize(sketches(items, threshold), "sketches")
+    sketch = materialize(sketches(items, threshold), "sketches").select("h").distinct()
     short = [r["n"] for r in items.select(F.size("w").alias("n")).where(f"n BETWEEN 1 AND {SHINGLE - 1}").distinct().collect()]
     sizes = [SHINGLE, *sorted(short)]
     rows = docs.select(
@@ -95,23 +99,19 @@ def find_leaks(
     probe = probe.select("doc_id", "doc_key", F.explode_outer("hs").alias("h"))
     if sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
-    found = probe.join(sketch, "h").groupBy("doc_id", "doc_key").agg(F.collect_set("item_id").alias("found"))
+    # A document's hits are one row before they are shuffled.
+    found = materialize(probe.join(sketch, "h").select("doc_id", "doc_key").distinct(), "candidates")
     found = found.withColumnsRenamed({"doc_id": "f_id", "doc_key": "f_key"})
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("doc_key") == F.col("f_key"))
-
-    held = rows.join(found, same).select("doc_id", "doc_key", "found", words(F.col("text")).alias("w"))
-    held = held.select("doc_id", "doc_key", "found", F.array_distinct(grams(_text)).alias("held"))
-    pairs = held.select("doc_id", "doc_key", "held", F.explode_outer("found").alias("item_id"))
-    tested = items.select("item_id", _shingles(F.col("w"), _text).alias("shingles"))
-    counted = pairs.join(tested, "item_id").select(
-        "doc_id",
-        "doc_key",
-        "item_id",
-        F.size(F.array_intersect("shingles", "held")).cast("long").alias("n_shared"),
-        F.size("shingles").cast("long").alias("n_item"),
-    )
-    counted = counted.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold)
-    return counted.dropDuplicates(["doc_id", "doc_key", "item_id", "n_shared", "n_item"])
+    held = rows.join(found, same, "left_semi").dropDuplicates(["doc_id", "doc_key"])
+    held = held.select("doc_id", "doc_key", words(F.col("text")).alias("w")).select("doc_id", "doc_key", F.array_distinct(grams(_text)).alias("held"))
+    held = held.select("doc_id", "doc_key", F.explode_outer("held").alias("shingle"))
+    own = items.select("item_id", F.xxhash64("w").alias("item_key"), _shingles(F.col("w"), _text).alias("own"))
+    own = own.select("item_id", "item_key", F.size("own").cast("long").alias("n_item"), F.explode("own").alias("shingle"))
+    counted = held.join(materialize(own, "shingles"), "shingle").groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item")
+    counted = counted.agg(F.count("*").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    counted = counted.where(F.col("containment") >= threshold).drop("item_key")
+    return counted.select("doc_id", "doc_key", "item_id", "n_shared", "n_item", "containment").distinct()
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -120,7 +120,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         F.col("doc_id").alias("__leak_id"), F.col("doc_key").alias("__leak_key")
     )
     key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(leaks.distinct(), docs[doc_id].eqNullSafe(F.col("__leak_id")) & (key == F.col("__leak_key")), "left_anti")
+    # Written first, so that Spark knows its size and needn't move the documents to a short list.
+    leaks = materialize(leaks.distinct(), "leaks")
+    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("__leak_id")) & (key == F.col("__leak_key")), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
