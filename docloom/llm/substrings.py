@@ -1,21 +1,24 @@
 """Substring dedup: every repeated window of words is removed.
 
 Every window of ``WINDOW`` words gets a Rabin-Karp hash (of XXH64 word hashes,
-modulo 2^64). Tasks cut their rows into batches, and each batch sends the
-distinct hashes of its windows, with the places where they start, to the bucket
-that a second hash, on another base, names. A bucket sorts its hashes; those that came from
-two batches, and those that a batch saw twice itself, are repeated. The places
-go back to their batch, overlapping windows merge to maximal intervals of
-words, and one join brings each document its intervals.
-
-So a window costs ``HASH_BYTES`` + 1 bytes of shuffle, and one that repeats
-a million times costs as much for each batch that has it, not for each time.
-Buckets and batches have bounded sizes however often a window repeats.
+modulo 2^64). Tasks cut their rows into batches and send the distinct hashes of
+each batch's windows, with the places where they start, to the bucket that a
+second hash, on another base, names: arrays on the way, so that a window costs
+about ten bytes of shuffle, and rows again behind it. There Spark counts them:
+a hash that stands in a bucket more than once was sent by more than one batch.
+Those, and the ones that a batch saw twice itself, are repeated. Their places go
+back to their batch, overlapping windows merge to maximal intervals of words,
+and one join brings each document its intervals; texts are shuffled for it only
+where the intervals outgrow Spark's limit for broadcasts.
+
+A window that repeats a million times costs a row for each batch that has it,
+not for each time. Buckets are as many as the data's size asks for, and Spark
+sorts and spills them, so no task or worker holds more of them than it can.
 
 All 64 bits of the hash are compared, and by the bucket log2(buckets) bits of
 the second one. The words aren't: some N^2 / (2^65 * buckets) pairs of N
 different windows are expected to meet, 0.002 at 4 * 10^9 windows (30 GB) and
-200 buckets. A smaller ``hash_bytes`` compares as many bits less.
+200 buckets. Buckets grow with N, so this grows with N, not with its square.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.arrow import add_columns
+from docloom.plans.tables import materialize
 
 WINDOW = 35
-HASH_BYTES = 8
+#: Bytes of text for each task that counts; places in a row of the shuffle lie within one block of words.
+TASK_BYTES, BLOCK_WORDS = 64 << 20, 1 << 15
 #: Words that a batch gathers before it is sent (one document may exceed it).
 BATCH_WORDS = 1 << 20
 #: Word hashes kept in a worker's cache.
@@ -43,8 +48,17 @@ BASE = 0x9E3779B97F4A7C15
 #: Base of the hash that names the bucket.
 SECOND = 0xC2B2AE3D27D4EB4F
 
-PART = "bucket long, batch long, kind int, data binary, places binary"
-BACK = "batch long, kind int, data binary"
+PART = "bucket int, batch long, base int, hashes array<bigint>, places array<smallint>, documents binary"
+PART_FIELDS = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("batch", pa.int64()),
+        ("base", pa.int32()),
+        ("hashes", pa.list_(pa.int64())),
+        ("places", pa.list_(pa.int16())),
+        ("documents", pa.binary()),
+    ]
+)
 
 
 class WordHashes(dict):
@@ -113,7 +127,7 @@ def _row_key(doc_id: int | None, text: str | None) -> tuple[int | None, int]:
     return doc_id, xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)
 
 
-def _send(window: int, buckets: int, hash_bytes: int):
+def _send(window: int, buckets: int):
     """Batches of rows (doc_id, text) to hashes by bucket and a table of the batch's documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,27 +154,37 @@ def _send(window: int, buckets: int, hash_bytes: int):
             second = np.concatenate([window_hashes(x, window, SECOND) for x in hashes])[keep]
             bucket = (second >> np.uint64(32)) % np.uint64(buckets)
             del second
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            rows = []
-            for b in np.flatnonzero(np.diff(cuts)):
-                at = order[cuts[b] : cuts[b + 1]]
-                data = h[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :hash_bytes].tobytes()
-                rows.append((int(b), batch, 0, data, pack_gaps(place[at])))
-            # Not for a bucket: the batch's own repeats, its documents and their places.
+            # Rows of one bucket and block of words, whose places are offsets within the block.
+            group = (place // BLOCK_WORDS) * buckets + bucket.astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            h, place, group = h[order].view(np.int64), place[order], group[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).astype(np.int32) if len(group) else np.zeros(1, np.int32)
+            head = group[cuts[:-1]]
+            base = (head // buckets * BLOCK_WORDS).astype(np.int32)
+            for i in range(0, len(head), 1 << 10):
+                part = cuts[i : i + (1 << 10) + 1]
+                n, low, high = len(part) - 1, part[0], part[-1]
+                offsets = pa.array(part - low)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((head[i : i + n] % buckets).astype(np.int32)),
+                        pa.array(np.full(n, batch, np.int64)),
+                        pa.array(base[i : i + n]),
+                        pa.ListArray.from_arrays(offsets, pa.array(h[low:high])),
+                        pa.ListArray.from_arrays(offsets, pa.array((place[low:high] % BLOCK_WORDS).astype(np.int16))),
+                        pa.nulls(n, pa.binary()),
+                    ],
+                    schema=PART_FIELDS,
+                )
+            # Not to be counted: the batch's own repeats, its documents and their places.
             ids = pa.array([d[0] for d in docs], pa.int64())
             table = pa.table({"doc_id": ids, "key": pa.array([d[1] for d in docs], pa.uint64()), "start": starts[:-1], "words": sizes})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
-            rows.append((batch % buckets, batch, 1, sink.getvalue().to_pybytes(), pack_gaps(own)))
+            held_back = _framed(pack_gaps(own)) + _framed(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_pylist([{"bucket": batch % buckets, "batch": batch, "documents": held_back}], PART_FIELDS)
             docs, hashes, sizes, held = [], [], [], 0
-            for i in range(0, len(rows), 64):
-                columns = list(zip(*rows[i : i + 64], strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "batch", "kind", "data", "places"]
-                )
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -179,53 +203,6 @@ def _send(window: int, buckets: int, hash_bytes: int):
     return send
 
 
-def _count(hash_bytes: int):
-    """Rows in order of bucket: the places, by batch, whose hash another batch of the bucket has."""
-
-    def found(rows: list[tuple]) -> Iterator[tuple]:
-        blobs = [r for r in rows if r[1] == 0]
-        yield from ((b, 1, _framed(p) + _framed(d)) for b, k, d, p in rows if k == 1)
-        if len(blobs) < 2:
-            return
-        raw = np.frombuffer(b"".join(r[2] for r in blobs), np.uint8).reshape(-1, hash_bytes)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :hash_bytes] = raw
-        h = wide.view("<u8").reshape(-1)
-        del raw, wide
-        order = np.argsort(h)
-        s = h[order]
-        same = s[1:] == s[:-1]
-        again = np.zeros(len(h), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        at = 0
-        for b, _, d, p in blobs:
-            n = len(d) // hash_bytes
-            mine = again[at : at + n]
-            at += n
-            if mine.any():
-                yield b, 0, pack_gaps(unpack_gaps(p)[mine])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for out in found(rows):
-                yield pa.RecordBatch.from_pydict(
-                    {"batch": [out[0]], "kind": [out[1]], "data": [out[2]]},
-                    pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())]),
-                )
-
-        now, rows = None, []
-        for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    yield from emit(rows)
-                    now, rows = bucket, []
-                rows.append(tuple(row))
-        yield from emit(rows)
-
-    return count
-
-
 def _framed(data: bytes) -> bytes:
     return len(data).to_bytes(8) + data
 
@@ -247,15 +224,15 @@ SPANS = "doc_id long, key long, spans binary"
 
 
 def _answer(window: int):
-    """Rows in order of batch, the table of documents first: intervals by document."""
+    """Rows in order of batch, its documents first, then places: intervals by document."""
 
-    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        own, table = next(_unframe(d) for k, d in rows if k == 1)
+    def one(own_and_table: bytes, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own, table = _unframe(own_and_table)
         docs = pa.ipc.open_stream(table).read_all()
         starts, words = docs["start"].to_numpy(), docs["words"].to_numpy()
         marked = np.zeros(int(starts[-1] + words[-1]), bool)
-        for data in [own, *(d for k, d in rows if k == 0)]:
-            marked[unpack_gaps(data)] = True
+        for places in [unpack_gaps(own), *found]:
+            marked[places] = True
         places = np.flatnonzero(marked)
         if not len(places):
             return
@@ -272,33 +249,50 @@ def _answer(window: int):
         )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, documents, found = None, None, []
         for got in batches:
-            for batch, kind, data in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                if batch != now and rows:
-                    yield from one(rows)
-                    rows = []
-                now = batch
-                rows.append((kind, data))
-        if rows:
-            yield from one(rows)
+            batch = got.column(0).to_numpy()
+            ends = np.concatenate([np.flatnonzero(np.diff(batch)) + 1, [len(batch)]]) if len(batch) else []
+            begin = 0
+            for end in ends:
+                if batch[begin] != now:
+                    if documents is not None:
+                        yield from one(documents, found)
+                    now, documents, found = batch[begin], None, []
+                if documents is None:
+                    documents, begin = got.column(2)[int(begin)].as_py(), begin + 1
+                found.append(got.column(1)[int(begin) : int(end)].to_numpy(zero_copy_only=False).astype(np.int64))
+                begin = end
+        if documents is not None:
+            yield from one(documents, found)
 
     return answer
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, hash_bytes: int = HASH_BYTES, buckets: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """(doc_id, key, spans) of rows (doc_id, text) with repeated windows.
 
     ``key`` is the XXH64 of the text; rows of one id and text give equal spans.
     ``spans`` packs [start, end) word numbers as little-endian int pairs.
     """
-    if not 1 <= hash_bytes <= 8:
-        raise ValueError("hash_bytes must be 1 to 8")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     buckets = buckets or 4 * parts
-    sent = docs.mapInArrow(_send(window, buckets, hash_bytes), PART)
-    back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(hash_bytes), BACK)
-    return back.repartition(parts, "batch").sortWithinPartitions("batch", F.desc("kind")).mapInArrow(_answer(window), SPANS)
+    sent = docs.mapInArrow(_send(window, buckets), PART).repartition(parts, "bucket")
+    back = seen_again(sent).repartition(parts, "batch").sortWithinPartitions("batch", F.asc_nulls_first("place"))
+    return back.mapInArrow(_answer(window), SPANS)
+
+
+def seen_again(sent: DataFrame) -> DataFrame:
+    """(batch, place, documents) of rows ``PART``: places whose hash a bucket has more than once, and batches' documents.
+
+    A shuffle by bucket that went before serves: rows are sorted and counted where they are.
+    """
+    pairs = F.arrays_zip("hashes", "places")
+    rows = sent.select("bucket", "batch", "base", "documents", F.inline_outer(pairs))
+    rows = rows.select("bucket", "batch", F.col("hashes").alias("h"), (F.col("base") + F.col("places")).alias("place"), "documents")
+    again = rows.withColumn("n", F.count("*").over(Window.partitionBy("h", "bucket"))).where("n > 1 OR documents IS NOT NULL")
+    return again.select("batch", "place", "documents")
 
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **options) -> DataFrame:
@@ -311,7 +305,8 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     null. Other columns are dropped.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeated_spans(rows, window, **options).distinct()
+    # Written first, so that Spark knows its size and needn't move the texts to a short list.
+    spans = materialize(repeated_spans(rows, window, **options).distinct(), "spans")
     spans = spans.withColumnsRenamed({"doc_id": "s_id", "key": "s_key"})
     same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64("text") == F.col("s_key"))
     return rows.join(spans, same, "left").select("doc_id", "text", "spans")

@@ -4,7 +4,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 
 from docloom.llm import substrings as ss
 from tests.llm.helpers import SF, docs, same_as_oracle, tuples
@@ -39,7 +38,7 @@ def test_small_texts_equal_brute_force(spark, monkeypatch):
     for window in (1, 2, 5, 9):
         assert run(spark, rows, window) == brute(rows, window)
     # Batches of few words, so that repeats are found between batches too.
-    assert run(spark, rows, 4, buckets=3, hash_bytes=8) == brute(rows, 4)
+    assert run(spark, rows, 4, buckets=3) == brute(rows, 4)
 
 
 def test_batches_meet_in_buckets(monkeypatch):
@@ -76,28 +75,18 @@ def test_digest_of_nothing_kept(spark):
     assert hashlib.sha256(out["kept"].encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
 
 
-def test_all_bits_of_both_hashes_are_compared(monkeypatch):
-    class Task:
-        get = staticmethod(lambda: Task())
-        partitionId = staticmethod(lambda: 0)
+def test_all_bits_of_both_hashes_are_compared(spark):
+    """Hashes that nearly collide: one bit apart, or in other buckets."""
+    one = 0x0123456789ABCDEF
+    rows = [(0, 1, 0, [one, one ^ 1], [5, 6], None), (0, 2, 32768, [one], [7], None), (1, 3, 0, [one], [8], None)]
+    rows += [(2, 10 + bit, 0, [one ^ (1 << bit)], [bit], None) for bit in range(63)] + [(2, 9, 0, [one], [99], None)]
+    rows += [(3, 4, None, None, None, bytearray(b"x")), (3, 5, None, None, None, bytearray(b"y"))]
+    got = ss.seen_again(spark.createDataFrame(rows, ss.PART)).collect()
+    assert sorted((r["batch"], r["place"]) for r in got if r["place"] is not None) == [(1, 5), (2, 32775)]
+    assert sorted(bytes(r["documents"]) for r in got if r["documents"]) == [b"x", b"y"]
 
-    monkeypatch.setattr(ss, "TaskContext", Task)
-    monkeypatch.setattr(ss, "BATCH_WORDS", 1)
-    one, two = 0x0123456789ABCDEF, 0xFEDCBA9876543210
 
-    def found(hashes, buckets=64):
-        """How many windows meet: a batch of one window for each (hash, second hash)."""
-        of = {ss.WordHashes()[str(i).encode()]: pair for i, pair in enumerate(hashes)}
-
-        def made(words, window, base=ss.BASE):
-            return np.array([of[int(words[0])][base != ss.BASE]], np.uint64)
-
-        monkeypatch.setattr(ss, "window_hashes", made)
-        rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(hashes))), "text": [f"{i} x" for i in range(len(hashes))]})
-        sent = [r for b in ss._send(2, buckets, ss.HASH_BYTES)(iter([rows])) for r in b.to_pylist()]
-        batch = pa.RecordBatch.from_pylist(sorted(sent, key=lambda r: r["bucket"]))
-        return sum(r["kind"] == 0 for b in ss._count(ss.HASH_BYTES)(iter([batch])) for r in b.to_pylist())
-
-    assert found([(one, two), (one, two)]) == 2
-    assert all(found([(one, two), (one ^ (1 << bit), two)]) == 0 for bit in range(64))
-    assert found([(one, two), (one, two ^ (1 << 32))]) == 0
+def test_one_shuffle_of_windows_and_none_of_texts(spark):
+    df = docs(spark, [(1, "a b c " * 30), (2, "a b c " * 30)]).select("doc_id", "text")
+    plan = ss.seen_again(df.mapInArrow(ss._send(35, 8), ss.PART).repartition(8, "bucket"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
