@@ -12,6 +12,9 @@ half only adds candidates; every pair is compared on all 64 bits.
 Copies of one fingerprint are counted once, before this, and at an anchor a
 spanning set of links is kept, never all pairs of a group. The groups are the
 connected components of the links.
+
+That is for texts that are all but equal. For a Jaccard similarity of shingles
+(``similarity``), wider fingerprints meet at the anchors of :mod:`docloom.llm.wide`.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm import wide
 from docloom.llm.arrow import add_columns
 from docloom.operators.components import connected_components
 from docloom.plans.tables import materialize
@@ -172,29 +176,39 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in order of anchor; an anchor whose rows go on in the next batch waits."""
+def _by_anchor(links_of):
+    """Batches in order of anchor, to links: an anchor whose rows go on in the next batch waits.
 
-    def emit(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for a, b in _links_at_anchors(rows[0], rows[1].view(np.uint64), rows[2]):
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"]
-                )
+    ``links_of`` gets the columns of whole anchors; all rows of one anchor are
+    held at a time.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for a, b in links_of(*(np.concatenate(c) for c in zip(*parts, strict=True))):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last or (held and held[-1][0][-1] != rows[0][0]):
+                held.append([r[:last] for r in rows])
+                yield from emit(held)
+                held = []
+            held.append([r[last:] for r in rows])
+        if held:
+            yield from emit(held)
+
+    return link
 
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        if last or (held and held[-1][0][-1] != rows[0][0]):
-            held.append([r[:last] for r in rows])
-            yield from emit([np.concatenate(c) for c in zip(*held, strict=True)])
-            held = []
-        held.append([r[last:] for r in rows])
-    if held:
-        yield from emit([np.concatenate(c) for c in zip(*held, strict=True)])
+
+def _close_links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a, b in _links_at_anchors(anchor, fp.view(np.uint64), home):
+        yield a.view(np.int64), b.view(np.int64)
 
 
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
@@ -202,13 +216,18 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copies = distinct.mapInArrow(_replicate, COPY)
     met = copies.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(_link, LINK)
+    return met.mapInArrow(_by_anchor(_close_links), LINK)
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns, nulls told apart."""
+    return F.xxhash64(*(x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))))
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, doc_key, fingerprint), and (fingerprint, label) of each distinct one."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = materialize(add_fingerprints(rows.withColumn("doc_key", F.xxhash64("t")), "t").drop("t"), "simhash")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _row_key(docs).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = materialize(add_fingerprints(rows, "t").drop("t"), "simhash")
     classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     classes = materialize(classes, "classes")
     parts = connected_components(link_fingerprints(classes.select("fingerprint")), "a", "b")
@@ -217,6 +236,44 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     return rows, materialize(labelled.select("fingerprint", "least", "label"), "labels")
 
 
+WORDS = [f"f{k}" for k in range(wide.WIDE // 64)]
+
+
+def link_similar(classes: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) among rows (node, f0.., anchors) whose wide fingerprints differ in up to ``bits`` bits."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = classes.select(F.explode("anchors").alias("anchor"), "node", *WORDS)
+
+    def links(anchor: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fps = np.ascontiguousarray(np.stack(words, axis=1)).view(np.uint64)
+        return wide.links_at_anchors(anchor, node, fps, bits)
+
+    return copies.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_by_anchor(links), LINK)
+
+
+def _alike(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, doc_key, words), and (words, label) of each distinct sequence of words."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _row_key(docs).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    long, many = (T.LongType(), pa.int64()), (T.ArrayType(T.LongType()), pa.list_(pa.int64()))
+    added = {"words": (T.BinaryType(), pa.binary()), **dict.fromkeys(WORDS, long), "anchors": many}
+
+    def fingerprints(texts: list) -> list[list]:
+        found = [wide.counts(t, shingle) for t in texts]
+        if not found:
+            return [[] for _ in added]
+        ones = np.stack([c for _, c in found])
+        fps = wide.bits_of(ones).view(np.int64)
+        return [[w for w, _ in found], *fps.T, list(wide.anchors(ones))]
+
+    rows = materialize(add_columns(rows, ["t"], added, fingerprints).drop("t"), "simhash")
+    first = F.first(F.struct(*WORDS, "anchors")).alias("x")
+    classes = rows.groupBy("words").agg(first).select("words", F.monotonically_increasing_id().alias("node"), "x.*")
+    classes = materialize(classes, "classes")
+    parts = connected_components(link_similar(classes, wide.bits_at(similarity)), "a", "b")
+    labelled = classes.select("words", "node").join(parts, "node", "left").select("words", F.coalesce("component", "node").alias("label"))
+    return rows, materialize(labelled, "labels")
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
@@ -232,24 +289,49 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of :func:`simhash_groups`, with all its columns.
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None, shingle: int = 5
+) -> DataFrame:
+    """One row of each group, with all its columns.
 
-    It is the one with the smallest id; rows without an id come last, and of
-    rows of one id that with the smallest hash of its text is taken. Of rows
-    that repeat both, any one stays.
+    Without ``similarity`` the groups are those of :func:`simhash_groups`. With
+    it, texts link whose wide fingerprints differ in no more bits than those of
+    texts at this Jaccard similarity of ``shingle``-word shingles do on average,
+    and one standard deviation more: about 0.035 of similarity at 0.8, so texts
+    somewhat below it may link, too.
+    Texts of equal words (A-Z in either case) always link, so all wordless texts
+    are one group.
+
+    The row with the smallest id stays; rows without an id come last. Of rows of
+    one id the one with the smallest hash of all its columns stays, so only
+    rows that are equal in everything tie, and of these one is left. Columns
+    must be of types that have a hash. An empty table gives an empty one.
     """
-    rows, labels = _labelled(docs, doc_id, text)
+    if similarity is None:
+        rows, labels = _labelled(docs, doc_id, text)
+        rows = rows.join(labels.select("fingerprint", "label"), "fingerprint")
+    else:
+        rows, labels = _alike(docs, doc_id, text, similarity, shingle)
+        rows = rows.select("doc_id", "doc_key", "words").join(labels, "words")
+    rows = materialize(rows.select("doc_id", "doc_key", "label"), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_key")
-    first = rows.join(labels.select("fingerprint", "label"), "fingerprint").groupBy("label").agg(F.min(rank).alias("r"))
-    first = first.select(F.col("r.doc_id").alias("__id"), F.col("r.doc_key").alias("__key")).distinct()
-    key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    kept = docs.join(first, docs[doc_id].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
-    # Whether any row repeats is counted on ids and hashes, so that texts needn't be shuffled again to find out.
-    if rows.groupBy("doc_id", "doc_key").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-        kept = kept.dropDuplicates([doc_id, "__key"]).drop("__key")
-    return kept
+    first = rows.groupBy("label").agg(F.min(rank).alias("r")).select("label", "r.doc_id", "r.doc_key")
+    first = first.withColumnsRenamed({"label": "f_label", "doc_id": "f_id", "doc_key": "f_key"})
+    same = (F.col("label") == F.col("f_label")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("doc_key") == F.col("f_key"))
+    # Keys of rows that go, and of kept rows that repeat: few beside all rows, so that texts move only if these are many.
+    gone = materialize(rows.join(first, same, "left_anti").select("doc_id", "doc_key").distinct(), "gone")
+    twice = rows.join(first, same, "left_semi").groupBy("doc_id", "doc_key").count().where("count > 1").select("doc_id", "doc_key")
+    twice = materialize(twice, "twice")
+
+    def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__k"))
+        return df.join(keys, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), how)
+
+    kept = among(docs.withColumn("__key", _row_key(docs)), gone, "left_anti")
+    if twice.limit(1).count():
+        once = among(kept, twice, "left_semi").dropDuplicates([doc_id, "__key"])
+        kept = among(kept, twice, "left_anti").unionByName(once)
+    return kept.drop("__key")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from docloom.llm import simhash
+from docloom.llm import simhash, wide
 from tests.llm.helpers import SF, docs, tuples
 
 
@@ -127,3 +127,104 @@ def test_nulls_ties_repeats_and_clashing_columns(spark):
         ["(3, '')", "(None, 'q w e r t y')", "(9, 'a b c d')", "(7, 'only this one')"]
     )
     assert simhash.simhash_groups(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def brute_alike(texts, similarity=0.8, shingle=5):
+    """Group number of each text, by comparing the word sequences, anchors and wide fingerprints of all pairs."""
+    found = [wide.counts(t, shingle) for t in texts]
+    ones = np.stack([c for _, c in found])
+    fps, at = wide.bits_of(ones), wide.anchors(ones)
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    same = {}
+    for i in range(len(texts)):
+        j = same.setdefault(found[i][0], i)
+        parent[find(i)] = find(j)
+        for j in np.flatnonzero(wide.near(fps[: i + 1], fps[i], wide.bits_at(similarity))):
+            if set(at[i]) & set(at[j]):
+                parent[find(i)] = find(int(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    rng = random.Random(3)
+    rows, pairs = [], []
+    for i in range(150):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 400))]
+        copy = edited(rng, words, max(1, int(len(words) * rng.uniform(0.002, 0.02))))
+        pairs.append((2 * i, 2 * i + 1, jaccard(" ".join(words), " ".join(copy))))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy).upper())]
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, rows), similarity=0.8).collect()}
+    assert kept >= {a for a, _, _ in pairs}
+    near = [b for _, b, j in pairs if j >= 0.8]
+    assert len(near) > 100 and sum(b not in kept for b in near) / len(near) > 0.95
+    assert all(b in kept for _, b, j in pairs if j < 0.6)
+
+
+def test_similar_groups_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    groups = brute_alike([t for _, t in rows])
+    want = sorted(min(d for (d, _), g in zip(rows, groups, strict=True) if g == k) for k in set(groups))
+    kept = simhash.keep_one(spark.read.parquet(f"{SF}/documents.parquet"), similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = [" ".join(edited(rng, words, rng.randint(0, 4))) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, " ".join(f"x{rng.randrange(4000)}" for _ in range(200))) for i in range(50)]
+    kept = [r["doc_id"] for r in simhash.keep_one(docs(spark, rows), similarity=0.8).collect()]
+    assert sorted(kept) == [0, *range(1000, 1050)]
+    found = [wide.counts(t, 5) for t in texts]
+    fps, node = wide.bits_of(np.stack([c for _, c in found])), np.arange(len(texts))
+    monkeypatch.setattr(wide, "SPLIT", 50)
+    for links in (list(wide.spanning(node, fps, 85)), list(wide._reach(node, fps, 85))):
+        group = {0}
+        while more := {int(b) for x, y in links for a, b in zip(x, y, strict=True) if int(a) in group} | {int(a) for x, y in links for a, b in zip(x, y, strict=True) if int(b) in group}:
+            if more <= group:
+                break
+            group |= more
+        assert len(group) == len(texts)
+
+
+def test_similar_odd_rows_and_ties(spark):
+    rows = [(5, None), (3, ""), (3, ""), (None, "a b c d"), (None, "q w e r t y"), (9, "A b c d"), (7, "only this one")]
+    df = docs(spark, rows).withColumnRenamed("lang", "words").withColumnRenamed("source", "anchors")
+    kept = simhash.keep_one(df, similarity=0.8)
+    assert kept.columns == df.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(
+        ["(3, '')", "(None, 'q w e r t y')", "(9, 'A b c d')", "(7, 'only this one')"]
+    )
+    assert simhash.keep_one(df.limit(0), similarity=0.8).count() == 0
+    # Rows of one id and text but other columns: always the same one stays.
+    tied = docs(spark, [(1, "a b c", "en", s) for s in "abcdef"])
+    first = [simhash.keep_one(tied.repartition(n), similarity=x).collect() for n in (1, 3, 7) for x in (None, 0.8)]
+    assert all(len(f) == 1 and f == first[0] for f in first)
+
+
+def test_wide_fingerprints_of_odd_texts():
+    rng = np.random.default_rng(0)
+    assert (wide.counts(None, 5)[1] == 0).all() and wide.counts("", 5)[0] == wide.counts(" \n", 5)[0]
+    assert wide.counts("A b\tc", 5)[0] == wide.counts("a b c", 5)[0]
+    long = " ".join(rng.choice(["x", "y", "z", "v"], 300_000))
+    ones = wide.counts(long, 5)[1]
+    assert abs(int(ones[0])) <= 4**5 and wide.anchors(ones[None, :]).shape == (1, 2 * wide.TABLES)
+    assert len(np.unique(wide.anchors(ones[None, :]) // (2 * wide.LENGTH) ** wide.PARTS)) == wide.TABLES
