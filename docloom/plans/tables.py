@@ -37,13 +37,34 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def discard_at_exit(spark: SparkSession, path: str) -> str:
+    """Have ``path`` deleted when the driver ends; results that scan it stay readable until then."""
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def _discard() -> None:
+    for spark, path in _scratch:
+        # The JVM may have gone first, and a folder that is left behind is no error.
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001
+            return
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it.
 
     Used where a result is read more than once or where iteration would grow
-    the lineage; nothing stays on the disks of single executors.
+    the lineage; nothing stays on the disks of single executors. The table goes
+    when the driver ends.
     """
-    path = new_path(df.sparkSession, label)
+    path = discard_at_exit(df.sparkSession, new_path(df.sparkSession, label))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
