@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
-from docloom.functions.text import matched_terms
+from docloom.functions.text import half_even, matched_terms
 
 
 def _case(key: Column, table: dict, default: Column) -> Column:
@@ -22,7 +22,7 @@ def authority_label(level: Column) -> Column:
 
 
 def authority_description(level: Column) -> Column:
-    return _case(level, {k: v[1] for k, v in fixed.AUTHORITY.items()}, F.lit("Unrecognized authority level."))
+    return _case(level, {k: v[1] for k, v in fixed.AUTHORITY.items()}, F.lit(fixed.UNKNOWN_AUTHORITY))
 
 
 def higher_authority(a: Column, b: Column) -> Column:
@@ -41,9 +41,7 @@ def severity(context: Column, department_a: Column, department_b: Column) -> Col
 
 
 def outdated_reason(current: Column, current_version: Column, outdated: Column, outdated_version: Column) -> Column:
-    return F.format_string(
-        "%s (v%s) explicitly supersedes %s (v%s) per document metadata.", current, current_version, outdated, outdated_version
-    )
+    return F.format_string(fixed.SUPERSEDES, current, current_version, outdated, outdated_version)
 
 
 def resolution_reason(resolved: Column, a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -56,7 +54,7 @@ def resolution_reason(resolved: Column, a: dict[str, Column], b: dict[str, Colum
     won = {k: F.when(first, a[k]).otherwise(b[k]) for k in a}
     lost = {k: F.when(first, b[k]).otherwise(a[k]) for k in a}
     outranks = F.format_string(
-        "%s (%s, level %d) outranks %s (%s, level %d).",
+        fixed.OUTRANKS,
         won["doc_key"],
         authority_label(won["authority_level"]),
         won["authority_level"],
@@ -65,7 +63,7 @@ def resolution_reason(resolved: Column, a: dict[str, Column], b: dict[str, Colum
         lost["authority_level"],
     )
     note = F.format_string(
-        " Note: %s is the more recently effective document (%s vs %s) but has lower authority.",
+        fixed.NEWER,
         lost["doc_key"],
         lost["effective_date"].cast("string"),
         won["effective_date"].cast("string"),
@@ -78,17 +76,17 @@ def resolution_reason(resolved: Column, a: dict[str, Column], b: dict[str, Colum
 
 def ranking_explanation(method: str, query: Column | str, text: Column | str) -> Column:
     """Why a result stands where it does."""
-    base = fixed.EXPLANATIONS.get(method, "Ranked by relevance.")
+    base = fixed.EXPLANATIONS.get(method, fixed.UNEXPLAINED)
     if method == "dense":
         return F.lit(base)
     terms = matched_terms(query, text)
     return F.when(
-        F.size(terms) > 0, F.concat(F.lit(base + " Matched terms: "), F.array_join(terms, ", "), F.lit("."))
-    ).otherwise(F.lit(base + " No literal term overlap -- matched via the semantic component."))
+        F.size(terms) > 0, F.concat(F.lit(base + fixed.MATCHED), F.array_join(terms, ", "), F.lit("."))
+    ).otherwise(F.lit(base + fixed.NO_OVERLAP))
 
 
 def relative_confidence(score: Column, top: Column) -> Column:
     """A score as a percentage of the best one of its results, one decimal."""
     return F.when(top <= 0, F.lit(0.0)).otherwise(
-        F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score / top * 100)), 1)
+        half_even(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score / top * 100)), 1)
     )

@@ -21,34 +21,49 @@ def numeric_facts(chunks: DataFrame, text: str = "text") -> DataFrame:
     The context is the last few words before the number, over sentence ends,
     without common ones. Numbers are found per unit over the lower-case text;
     thousands lose their commas. Rows without numbers vanish.
+
+    A number begins and ends where no word does, so the words before it are
+    those of the pieces between numbers and of the numbers' own units. Of each
+    piece only the last ``CONTEXT_WORDS`` are kept and carried to the next.
     """
     low = chunks.withColumn("__low", F.lower(text))
+    size = fixed.CONTEXT_WORDS
+    no_words = F.expr("cast(array() as array<string>)")
+
+    def last(words: Column) -> Column:
+        return F.slice(words, F.greatest(F.size(words) - (size - 1), F.lit(1)), size)
+
+    def tail(piece: Column) -> Column:
+        words = F.regexp_extract_all(piece, F.lit("[a-z]+"), F.lit(0))
+        return let(F.filter(words, lambda x: ~x.isin(*fixed.CONTEXT_STOPWORDS)), last)
+
+    def carried(tails: Column) -> Column:
+        step = lambda acc, t: let(
+            last(F.concat(acc["now"], t)),
+            lambda now: F.struct(now.alias("now"), F.concat(acc["out"], F.array(F.array_join(now, " "))).alias("out")),
+        )
+        return F.aggregate(tails, F.struct(no_words.alias("now"), no_words.alias("out")), step)["out"]
 
     def of_unit(no: int, unit: str, pattern: str) -> Column:
-        # What stands before match i is the first i + 1 pieces between matches and the first i matches.
-        def of_pieces(pieces: Column) -> Column:
-            return let(_matches(F.col("__low"), pattern, 1), lambda found: F.transform(found, lambda m, i: fact(pieces, found, m, i)))
+        def of_found(found: Column) -> Column:
+            before = F.concat(F.array(F.lit("")), F.transform(found, lambda m: m["g0"]))
+            pieces = F.zip_with(before, F.split("__low", pattern), lambda m, p: F.concat(F.coalesce(m, F.lit("")), F.coalesce(p, F.lit(""))))
+            return let(carried(F.transform(pieces, tail)), lambda contexts: F.transform(found, lambda m, i: fact(contexts, m, i)))
 
-        def fact(pieces: Column, found: Column, m: Column, i: Column) -> Column:
-            before = F.zip_with(F.slice(pieces, 1, i + 1), F.slice(found, 1, i), lambda a, b: F.concat(a, F.coalesce(b["g0"], F.lit(""))))
+        def fact(contexts: Column, m: Column, i: Column) -> Column:
             return F.struct(
                 F.regexp_replace(m["g1"], ",", "").cast("bigint").alias("value"),
                 F.lit(unit).alias("unit"),
-                F.array_join(before, "").alias("before"),
+                F.concat(F.lit(f"{unit}::"), F.get(contexts, i)).alias("context_key"),
                 m["g0"].alias("raw_match"),
                 F.lit(no).alias("unit_no"),
                 i.alias("match_no"),
             )
 
-        return let(F.split("__low", pattern), of_pieces)
+        return let(_matches(F.col("__low"), pattern, 1), of_found)
 
     units = [of_unit(no, unit, pattern) for no, (unit, pattern) in enumerate(fixed.UNIT_PATTERNS)]
-    rows = low.withColumn("__f", F.explode(F.concat(*units))).select(*chunks.columns, "__f.*")
-    words = F.filter(
-        F.regexp_extract_all("before", F.lit("[a-z]+"), F.lit(0)), lambda x: ~x.isin(*fixed.CONTEXT_STOPWORDS)
-    )
-    last = F.slice(words, F.greatest(F.size(words) - (fixed.CONTEXT_WORDS - 1), F.lit(1)), fixed.CONTEXT_WORDS)
-    return rows.withColumn("context_key", F.concat("unit", F.lit("::"), F.array_join(last, " "))).drop("before")
+    return low.withColumn("__f", F.explode(F.concat(*units))).select(*chunks.columns, "__f.*")
 
 
 def definitions(chunks: DataFrame, text: str = "text") -> DataFrame:

@@ -60,14 +60,18 @@ EXPLANATIONS = {
     "bm25": "Ranked by lexical term overlap (BM25).",
     "dense": "Ranked by semantic similarity (dense retrieval).",
     "hybrid": "Ranked by combining lexical (BM25) and semantic signals via reciprocal rank fusion.",
-    "hybrid_rerank": (
-        "Ranked by combined lexical + semantic retrieval, then rescored for relevance to your exact query."
-    ),
+    "hybrid_rerank": "Ranked by combined lexical + semantic retrieval, then rescored for relevance to your exact query.",
 }
-UNRESOLVED = (
-    "Not resolved by authority ranking: both definitions may be legitimate within their own department's context "
-    "rather than one being factually wrong."
-)
+UNEXPLAINED = "Ranked by relevance."
+MATCHED = " Matched terms: "
+NO_OVERLAP = " No literal term overlap -- matched via the semantic component."
+
+# What is said about authority, versions and conflicts.
+UNKNOWN_AUTHORITY = "Unrecognized authority level."
+SUPERSEDES = "%s (v%s) explicitly supersedes %s (v%s) per document metadata."
+OUTRANKS = "%s (%s, level %d) outranks %s (%s, level %d)."
+NEWER = " Note: %s is the more recently effective document (%s vs %s) but has lower authority."
+UNRESOLVED = "Not resolved by authority ranking: both definitions may be legitimate within their own department's context rather than one being factually wrong."
 
 # Order in which related entities are shown; any other relation is 9.
 RELATION_PRIORITY = {"conflicts_with": 0, "supersedes": 1, "duplicate_of": 2, "owned_by": 3, "applies_to": 4}

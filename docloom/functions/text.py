@@ -27,6 +27,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """A double rounded to ``digits`` decimals by its exact binary value, exact ties to the even digit."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")
+
+
 def approx_tokens(text: Column | str) -> Column:
     """Number of runs of non-blanks."""
     return F.size(F.filter(F.split(_col(text), r"\s+"), lambda x: x != ""))

@@ -155,25 +155,27 @@ def tag_relations(documents: DataFrame) -> DataFrame:
 
 
 def extract_relations(documents: DataFrame) -> DataFrame:
-    """All relations of documents, as a bag."""
+    """All relations of documents, as a bag (U1); ``step`` numbers the kinds in order of extraction."""
     parts = (metadata_relations, reference_relations, statement_relations, tag_relations)
-    return reduce(DataFrame.unionByName, (p(documents) for p in parts))
+    return reduce(DataFrame.unionByName, (p(documents).withColumn("step", F.lit(i)) for i, p in enumerate(parts)))
 
 
-def resolve_edges(relations: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved): names to entity ids; the first entity of a type and name wins.
+def resolve_edges(relations: DataFrame, entities: DataFrame, typed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(edges, unresolved): names to entity ids; the first entity of a name wins, whatever its type.
 
-    Types of documents are one family, so a Document matches whatever type the
-    document's entity has. Repeated (source, target, relation) become one edge.
+    With ``typed`` the types must agree, too; those of documents are one family
+    then. Of repeated (source, target, relation) the first in order of
+    extraction gives the confidence.
     """
     family = F.when(F.col("entity_type").isin("Policy", "Process", "Documentation"), "Document").otherwise(F.col("entity_type"))
-    known = entities.groupBy("name", family.alias("family")).agg(F.min("id").alias("id"))
-    out = relations
+    known = entities.groupBy("name", (family if typed else F.lit(None)).alias("family")).agg(F.min("id").alias("id"))
+    out = relations if "step" in relations.columns else relations.withColumn("step", F.lit(0))
     for end in ("source", "target"):
         side = known.select(F.col("name").alias(end), F.col("family").alias(f"{end}_type"), F.col("id").alias(f"{end}_entity_id"))
-        out = out.join(side, [end, f"{end}_type"], "left")
+        out = out.join(side, [end, f"{end}_type"], "left") if typed else out.join(side.drop(f"{end}_type"), end, "left")
     bad = F.col("source_entity_id").isNull() | F.col("target_entity_id").isNull()
-    edges = out.where(~bad).groupBy("source_entity_id", "target_entity_id", "relation_type").agg(F.max("confidence").alias("confidence"))
+    first = F.min(F.struct("step", F.negate("confidence").alias("less"), "confidence"))["confidence"]
+    edges = out.where(~bad).groupBy("source_entity_id", "target_entity_id", "relation_type").agg(first.alias("confidence"))
     return edges, out.where(bad).select(*_EDGE)
 
 
@@ -181,18 +183,20 @@ def integrity_edges(conflicts: DataFrame, duplicates: DataFrame, chunks: DataFra
     """conflicts_with and duplicate_of between document entities.
 
     ``chunks`` has chunk_id and doc_key. One edge for a pair in either
-    direction, none to itself, none that exists in ``existing``. A duplicate's
-    confidence is its greatest similarity.
+    direction, none to itself, none that exists in ``existing``. A document
+    stands for the first entity of its key's name. Of several duplicates of two
+    documents the first in order of chunks gives the confidence.
     """
     both = conflicts.select("chunk_a_id", "chunk_b_id", F.lit("conflicts_with").alias("relation_type"), F.lit(1.0).alias("confidence")).unionByName(
         duplicates.select("chunk_a_id", "chunk_b_id", F.lit("duplicate_of").alias("relation_type"), F.col("similarity_score").alias("confidence"))
     )
-    documents = entities.where(F.col("entity_type").isin("Policy", "Process", "Documentation")).groupBy("name").agg(F.min("id").alias("entity"))
+    documents = entities.groupBy("name").agg(F.min("id").alias("entity"))
     owner = chunks.select("chunk_id", F.col("doc_key").alias("name")).join(documents, "name").select("chunk_id", "entity")
+    both = both.withColumn("at", F.struct("chunk_a_id", "chunk_b_id"))
     for side in ("a", "b"):
         both = both.join(owner.select(F.col("chunk_id").alias(f"chunk_{side}_id"), F.col("entity").alias(side)), f"chunk_{side}_id")
     pairs = both.where("a <> b").groupBy(F.least("a", "b").alias("source_entity_id"), F.greatest("a", "b").alias("target_entity_id"), "relation_type").agg(
-        F.max("confidence").alias("confidence")
+        F.min_by("confidence", "at").alias("confidence")
     )
     if existing is not None:
         old = existing.select(

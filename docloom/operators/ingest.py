@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.fixed import CHUNK_TOKENS, OVERLAP
 from docloom.functions.text import approx_tokens, chunk_texts
 from docloom.plans.tables import materialize, running_totals
 from docloom.sources.documents import parse_documents, scan_files
 from docloom.sources.records import read_table, write_table
 
 
-def chunk_documents(documents: DataFrame, doc_id: str = "id", body: str = "raw_text") -> DataFrame:
+def chunk_documents(
+    documents: DataFrame, doc_id: str = "id", body: str = "raw_text", max_tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP
+) -> DataFrame:
     """(document_id, chunk_index, text, token_count); documents without sentences have no rows (T5)."""
-    chunks = documents.select(F.col(doc_id).alias("document_id"), F.posexplode(chunk_texts(body)).alias("chunk_index", "text"))
+    texts = chunk_texts(body, max_tokens, overlap)
+    chunks = documents.select(F.col(doc_id).alias("document_id"), F.posexplode(texts).alias("chunk_index", "text"))
     return chunks.withColumn("token_count", approx_tokens("text"))
 
 
@@ -51,7 +55,12 @@ def ingest(spark: SparkSession, source: str, target: str, reset: bool = False) -
 
 
 def append_documents(spark: SparkSession, parsed: DataFrame, target: str, reset: bool = False) -> DataFrame:
-    """Add parsed documents that are new, with their chunks; one row of totals."""
+    """Add parsed documents that are new, with their chunks; one row of totals.
+
+    Chunks are written first and the documents' rows make them count: chunks
+    that a run left behind when it broke off belong to no document, and go
+    before the next run writes, so that no document ever lacks its chunks.
+    """
     existing, first_doc, first_chunk = None, 1, 1
     if not reset:
         try:
@@ -60,15 +69,28 @@ def append_documents(spark: SparkSession, parsed: DataFrame, target: str, reset:
             first_chunk = (read_table(spark, f"{target}/chunks").agg(F.max("id")).first()[0] or 0) + 1
         except FileNotFoundError:
             existing = None
+    if existing is not None:
+        _drop_orphans(spark, existing, f"{target}/chunks")
     fresh = materialize(number_rows(new_documents(parsed, existing), ["source_path"], first_doc, "id"), "fresh")
     chunks = materialize(number_rows(chunk_documents(fresh), ["document_id", "chunk_index"], first_chunk, "id"), "chunks")
-    write_table(fresh, f"{target}/documents", reset)
     write_table(chunks, f"{target}/chunks", reset)
+    write_table(fresh, f"{target}/documents", reset)
     totals = fresh.agg(F.count("*").alias("documents")).join(chunks.agg(F.count("*").alias("chunks")))
     mean = F.when(F.col("documents") > 0, F.round(F.col("chunks") / F.greatest("documents", F.lit(1)), 2)).otherwise(0.0)
     return totals.withColumn("chunks_per_document", mean)
 
 
+def _drop_orphans(spark: SparkSession, documents: DataFrame, folder: str) -> None:
+    """Remove chunks whose document was never written."""
+    try:
+        chunks = read_table(spark, folder)
+    except FileNotFoundError:
+        return
+    ids = documents.select(F.col("id").alias("document_id"))
+    if chunks.join(ids, "document_id", "left_anti").limit(1).count():
+        write_table(materialize(chunks.join(ids, "document_id", "left_semi"), "chunks"), folder, reset=True)
+
+
 def upload_document(spark: SparkSession, name: str, content: str, target: str) -> dict:
     """Ingest one document given as text; what became of it.
 

@@ -49,25 +49,51 @@ def _first_of_pair(pairs: DataFrame, order: list[str]) -> DataFrame:
 def similar_pairs(vectors: DataFrame, threshold: float, doc: str = "chunk_id") -> DataFrame:
     """(a, b, score), a < b, of unit vectors (doc, term, w) with a dot product of ``threshold`` or more.
 
-    Prefix filter: with terms in a global order from rare to frequent, a pair
-    that shares no term before the place where the rest of the vector has a
-    norm under the threshold can't reach it. Only prefixes are joined; the
-    score of each candidate is then summed over whole vectors. Nothing is lost,
-    and frequent terms, which join most rows, are hardly ever in a prefix.
+    With terms in a global order from rare to frequent, a vector's prefix ends
+    where the rest of it has a norm under the threshold: a pair that shares no
+    prefix term can't reach it. Only prefixes are joined, and the products are
+    summed by pair. What is missing from that sum lies at or behind the earlier
+    of the two cuts, so it is at most the norm of that vector's rest times the
+    norm of the other vector from there on, which is known up to a factor of two
+    in document frequency. Pairs whose sum and bound don't reach the threshold
+    go; the few that are left are summed over whole vectors. Nothing is lost.
     """
-    df = vectors.groupBy("term").agg(F.count("*").alias("__df"))
-    ranked = vectors.join(df, "term")
-    rest = Window.partitionBy(doc).orderBy(F.desc("__df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranked.withColumn("__tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
-    prefix = materialize(ranked.where(F.col("__tail") >= threshold - 1e-9).select(F.col(doc).alias("d"), "term"), "prefix")
-    pairs = prefix.select(F.col("d").alias("a"), "term").join(prefix.select(F.col("d").alias("b"), "term"), "term")
-    pairs = pairs.where("a < b").select("a", "b").distinct()
+    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    rest = Window.partitionBy("d").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = vectors.join(df, "term").select(F.col(doc).alias("d"), "term", "w", "df")
+    ranked = materialize(ranked.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))), "ranked")
+    in_prefix = F.col("tail") >= threshold - 1e-9
+    octave = F.floor(F.log2(F.col("df").cast("double"))).cast("int")
+    # By octave of document frequency: how much of the squared norm terms of lower octaves have.
+    below = [F.sum(F.when(octave < k, F.col("w") * F.col("w")).otherwise(0.0)) for k in range(_OCTAVES)]
+    info = ranked.groupBy("d").agg(
+        F.max(F.when(~in_prefix, F.col("tail"))).alias("rest"), F.min(F.when(~in_prefix, F.struct("df", "term"))).alias("cut"), F.array(*below).alias("below")
+    )
+    info = materialize(info.withColumn("octave", F.floor(F.log2(F.col("cut.df").cast("double"))).cast("int")), "info")
+    prefix = ranked.where(in_prefix)
+    left = prefix.select(F.col("d").alias("a"), "term", F.col("w").alias("wa"))
+    right = prefix.select(F.col("d").alias("b"), "term", F.col("w").alias("wb"))
+    pairs = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"))
+    for side in "ab":
+        pairs = pairs.join(_sided(info, side), side)
+    missing = lambda x, y: F.col(f"rest_{x}") * F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.get(F.col(f"below_{y}"), F.least(F.col(f"octave_{x}"), F.lit(_OCTAVES - 1)))))
+    first = F.col("cut_b").isNull() | (F.col("cut_a") <= F.col("cut_b"))
+    bound = F.when(F.col("cut_a").isNotNull() & first, missing("a", "b")).when(F.col("cut_b").isNotNull(), missing("b", "a")).otherwise(0.0)
+    pairs = materialize(pairs.where(F.col("part") + bound >= threshold - 1e-6).select("a", "b"), "candidates")
     left = vectors.select(F.col(doc).alias("a"), "term", F.col("w").alias("wa"))
     right = vectors.select(F.col(doc).alias("b"), "term", F.col("w").alias("wb"))
     scored = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
 
+#: Octaves of document frequency that are told apart; higher ones count as the last.
+_OCTAVES = 40
+
+
+def _sided(info: DataFrame, side: str) -> DataFrame:
+    return info.select(F.col("d").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("rest", "cut", "below", "octave")))
+
+
 def duplicate_pairs(
     chunks: DataFrame,
     versions: DataFrame,
@@ -154,17 +180,18 @@ def contradictions(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     """Numeric facts of one context with different values in different documents.
 
     ``chunks`` has chunk_id, document_id, doc_key, department, authority_level
-    and text, in order of chunk_id. At most one row per pair of chunks: the
+    and text, in order of chunk_id. Values are given as they stand in the text,
+    in lower case. At most one row per pair of chunks: the
     first in order of context, then of facts. The stronger authority wins, the
     first side on ties.
     """
     found = facts.numeric_facts(chunks)
-    found = found.withColumn("ordinal", F.struct("chunk_id", "unit_no", "match_no")).drop("text", "raw_match", "unit_no", "match_no")
+    found = found.withColumn("ordinal", F.struct("chunk_id", "unit_no", "match_no")).drop("text", "unit_no", "match_no")
     found = found.withColumn("context_ordinal", F.min("ordinal").over(Window.partitionBy("context_key")))
     found = materialize(found, "facts")
     several = found.groupBy("context_key").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi").select("context_key")
     found = found.join(several, "context_key", "left_semi")
-    a = found.select("context_key", "context_ordinal", "unit", *(F.col(c).alias(f"a_{c}") for c in _FACT))
+    a = found.select("context_key", "context_ordinal", *(F.col(c).alias(f"a_{c}") for c in _FACT))
     b = found.select("context_key", *(F.col(c).alias(f"b_{c}") for c in _FACT))
     pairs = a.join(b, "context_key").where("a_ordinal < b_ordinal AND a_value <> b_value AND a_document_id <> b_document_id")
     pairs = _without_versions(pairs, versions, "a_document_id", "b_document_id")
@@ -176,14 +203,14 @@ def contradictions(chunks: DataFrame, versions: DataFrame) -> DataFrame:
         F.when(context == "", F.col("context_key")).otherwise(context).alias("concept"),
         "chunk_a_id",
         "chunk_b_id",
-        F.concat(F.col("a_value").cast("string"), F.lit(" "), "unit").alias("value_a"),
-        F.concat(F.col("b_value").cast("string"), F.lit(" "), "unit").alias("value_b"),
+        F.col("a_raw_match").alias("value_a"),
+        F.col("b_raw_match").alias("value_b"),
         severity(F.col("context_key"), F.col("a_department"), F.col("b_department")).alias("severity"),
         F.when(F.col("a_authority_level") == wins, F.col("a_doc_key")).otherwise(F.col("b_doc_key")).alias("resolved_doc_key"),
     )
 
 
-_FACT = ("chunk_id", "document_id", "doc_key", "department", "authority_level", "value", "ordinal")
+_FACT = ("chunk_id", "document_id", "doc_key", "department", "authority_level", "value", "raw_match", "ordinal")
 
 
 def definition_conflicts(chunks: DataFrame, threshold: float = fixed.DEFINITION_THRESHOLD) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed import POOL, STOPWORDS
@@ -53,13 +53,16 @@ class TfidfReranker:
         asked = queries.join(kept.select("query_id").distinct(), "query_id", "left_semi")
         # The query takes part as a text of its own, with a null chunk as its mark.
         both = texts.unionByName(asked.select("query_id", F.lit(None).cast("bigint").alias("chunk_id"), "text"))
-        both = both.withColumn("doc", F.coalesce(F.col("chunk_id").cast("string"), F.lit("query")))
-        terms = both.select("query_id", "doc", F.explode(ngram_terms("text", self.stop_words)).alias("term"))
-        n = both.groupBy("query_id").agg(F.count("*").alias("n"))
-        weights = tfidf_weights(terms, ["query_id"], "doc", n)
-        of_query = weights.where("doc = 'query'").select("query_id", "term", F.col("w").alias("q"))
-        shared = weights.where("doc <> 'query'").join(of_query, ["query_id", "term"])
-        cosine = shared.groupBy("query_id", F.col("doc").try_cast("bigint").alias("chunk_id")).agg(F.sum(F.col("w") * F.col("q")).alias("s"))
+        # One shuffle, of texts to their query; counts, weights and sums of a query are made where its texts are.
+        both = both.repartition("query_id").withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+        terms = both.select("query_id", "chunk_id", "n", F.explode(ngram_terms("text", self.stop_words)).alias("term"))
+        tf = terms.groupBy("query_id", "chunk_id", "n", "term").agg(F.count("*").alias("tf"))
+        of_term, of_text = Window.partitionBy("query_id", "term"), Window.partitionBy("query_id", "chunk_id")
+        weighed = tf.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.count("*").over(of_term))) + 1))
+        weighed = weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_text)))
+        weighed = weighed.withColumn("q", F.max(F.when(F.col("chunk_id").isNull(), F.col("w"))).over(of_term))
+        shared = weighed.where("chunk_id IS NOT NULL AND q IS NOT NULL")
+        cosine = shared.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("s"))
         scored = kept.join(cosine, ["query_id", "chunk_id"], "left")
         scored = scored.withColumn("score", F.round(F.coalesce("s", F.lit(0.0)), DIGITS))
         return top_ranked(scored, top_k, [F.desc("score"), F.asc("fused_rank")]).select("query_id", "chunk_id", "score", "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed
 from docloom.functions.authority import authority_description, authority_label, outdated_reason, ranking_explanation, relative_confidence, resolution_reason
-from docloom.functions.text import matched_terms
+from docloom.functions.text import half_even, matched_terms
 from docloom.operators.ingest import number_rows
 
 METHODS = ("bm25", "dense", "hybrid", "hybrid_rerank")
@@ -52,7 +52,7 @@ def list_conflicts(conflicts: DataFrame, conflict_type: str | None = None, sever
         if value is not None:
             out = out.where(F.col(name) == value)
     order = [F.desc("detected_at")] if "detected_at" in out.columns else []
-    return out.orderBy(*order, "chunk_a_id", "chunk_b_id")
+    return out.orderBy(*order, "chunk_a_id", "chunk_b_id", "conflict_type")
 
 
 def list_entities(entities: DataFrame, entity_type: str | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def related_entities(entities: DataFrame, edges: DataFrame, limit: int = 4) -> D
     """(name, related): up to ``limit`` neighbours of each entity as (rank, name, entity_type, relation_type).
 
     Authors are left out. Order is by relation, then by edge in order of its
-    ends and relation.
+    ends and relation. Of entities of one name the first counts.
     """
     used = edges.where(F.col("relation_type") != "created_by")
     priority: Column = F.lit(9)
@@ -114,7 +114,7 @@ def related_entities(entities: DataFrame, edges: DataFrame, limit: int = 4) -> D
     named = top.join(other, "other")
     item = F.struct("rank", F.col("other_name").alias("name"), "entity_type", "relation_type")
     lists = named.groupBy("id").agg(F.sort_array(F.collect_list(item)).alias("related"))
-    return lists.join(entities.select("id", "name"), "id").select("name", "related")
+    return lists.join(entities.groupBy("name").agg(F.min("id").alias("id")), "id").select("name", "related")
 
 
 def enrich_results(
@@ -151,6 +151,26 @@ def enrich_results(
     return rows.drop("query")
 
 
+def list_duplicates(duplicates: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Duplicate pairs with both sides, the most similar first."""
+    return chunk_refs(duplicates, chunks, documents).orderBy(F.desc("similarity_score"), "chunk_a_id", "chunk_b_id")
+
+
+def preview_conflicts(conflicts: DataFrame, limit: int = 2) -> DataFrame:
+    """The first conflicts of :func:`list_conflicts`, for a dashboard."""
+    return list_conflicts(conflicts).limit(limit)
+
+
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """(document_id, first_chunk_id): each document's chunk of least index."""
+    return chunks.groupBy("document_id").agg(F.min_by("chunk_id", "chunk_index").alias("first_chunk_id"))
+
+
+def order_cases(cases: DataFrame) -> DataFrame:
+    """Cases with the severest first, in order of their kind and number otherwise."""
+    return cases.orderBy(F.desc("severity_rank"), "kind", F.length("case_id"), "case_id")
+
+
 def count_map(rows: DataFrame, column: str, out: str) -> DataFrame:
     """One row with a map from value to count (A1)."""
     counts = rows.groupBy(column).agg(F.count("*").alias("n")).where(F.col(column).isNotNull())
@@ -158,9 +178,10 @@ def count_map(rows: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def dashboard(documents: DataFrame, entities: DataFrame, relations: DataFrame, conflicts: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """One row of totals and the integrity score.
+    """One row of totals, maps by department and status, and the integrity score.
 
-    The score is null unless there is a conflict or a cluster; it isn't bounded below.
+    The score is null unless there is a conflict or a cluster; it isn't bounded
+    below. It is worked out in doubles and rounded by their exact value.
     """
     counts = [
         documents.agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "superseded").alias("potentially_outdated")),
@@ -168,11 +189,12 @@ def dashboard(documents: DataFrame, entities: DataFrame, relations: DataFrame, c
         relations.agg(F.count("*").alias("relationships")),
         conflicts.agg(F.count("*").alias("conflicts")),
         duplicates.agg(F.countDistinct("cluster_id").alias("duplicate_clusters")),
+        *(count_map(documents, c, f"documents_by_{c}") for c in ("department", "status") if c in documents.columns),
     ]
     row = counts[0]
     for c in counts[1:]:
         row = row.join(c)
-    score = F.round(100.0 * (1.0 - F.col("conflicts") / F.greatest("documents", F.lit(1))), 1)
+    score = half_even(100.0 * (1.0 - F.col("conflicts") / F.greatest("documents", F.lit(1))), 1)
     return row.withColumn("integrity_score", F.when((F.col("conflicts") > 0) | (F.col("duplicate_clusters") > 0), score))
 
 

@@ -7,6 +7,9 @@ their reference SQL start from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.operators.ingest import chunk_documents, number_rows
 
 _LETTERS = "translate(CAST(({n}) AS STRING), '0123456789', 'abcdefghij')"
 
@@ -67,5 +70,17 @@ def chunks(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Words a chunk of the collection may have, so that most documents have several.
+CHUNK_WORDS = 40
+
+
+def real_chunks(docs: DataFrame) -> DataFrame:
+    """The collection's documents cut into several chunks each, numbered in order of document and index."""
+    cut = chunk_documents(docs, max_tokens=CHUNK_WORDS)
+    numbered = number_rows(cut, ["document_id", "chunk_index"], 1, "chunk_id")
+    meta = docs.select(F.col("id").alias("document_id"), "doc_key", "department", "authority_level")
+    return numbered.join(meta, "document_id")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import facts
-from docloom.functions.fixed import AUTHORITY, CONTEXT_STOPWORDS, SEVERITY_HIGH, SEVERITY_MEDIUM, UNIT_PATTERNS, UNRESOLVED
+from docloom.functions.fixed import AUTHORITY, CONTEXT_STOPWORDS, DEFINITION_PATTERNS, SEVERITY_HIGH, SEVERITY_MEDIUM, UNIT_PATTERNS, UNRESOLVED
 from docloom.operators import evaluation, graph, integrity, serving
 from docloom.plans import adapters
 from docloom.plans.adapters import table
@@ -166,8 +166,11 @@ def neighbourhood_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = Base(spark, sf_dir)
     rows = serving.related_entities(b.entities(), b.edges().unionByName(b.found_edges()))
-    items = F.transform("related", lambda r: F.concat_ws("|", r["name"], r["entity_type"], r["relation_type"]))
-    return rows.groupBy("name").agg(F.sort_array(F.collect_list(F.array_join(items, ";"))).alias("r")).select("name", F.array_join("r", "#").alias("related"))
+    return rows.select("name", related_text().alias("related"))
+
+
+def related_text():
+    return F.array_join(F.transform("related", lambda r: F.concat_ws("|", r["name"], r["entity_type"], r["relation_type"])), ";")
 
 
 def conflicted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +193,13 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = Base(spark, sf_dir)
-    return serving.dashboard(b.docs, b.entities(), b.edges(), b.conflicts(), b.duplicates())
+    row = serving.dashboard(b.docs, b.entities(), b.edges(), b.conflicts(), b.duplicates())
+    return row.withColumns({c: map_text(c) for c in ("documents_by_department", "documents_by_status")})
+
+
+def map_text(column: str):
+    """A map as text, which any engine can compare."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
 
 
 def department_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,23 +296,23 @@ _CONTRA = f"""{_FACTS}, f AS (
   FROM facts JOIN kb ON kb.id = chunk_id
 ), cp AS (
   SELECT *, row_number() OVER (PARTITION BY least(ca, cb), greatest(ca, cb) ORDER BY co, oa, ob) AS n FROM (
-    SELECT a.context_key, a.unit, a.co, a.o AS oa, b.o AS ob, a.chunk_id AS ca, b.chunk_id AS cb, a.value AS va, b.value AS vb,
+    SELECT a.context_key, a.unit, a.co, a.o AS oa, b.o AS ob, a.chunk_id AS ca, b.chunk_id AS cb, a.raw_match AS va, b.raw_match AS vb,
       a.department AS da, b.department AS db, a.authority_level AS la, b.authority_level AS lb, a.doc_key AS ka, b.doc_key AS kb_
     FROM f a JOIN f b ON a.context_key = b.context_key AND a.o < b.o AND a.value <> b.value AND a.chunk_id <> b.chunk_id
     WHERE NOT EXISTS (SELECT 1 FROM ver WHERE (current_id = a.chunk_id AND outdated_id = b.chunk_id) OR (current_id = b.chunk_id AND outdated_id = a.chunk_id)))
 ), contra AS (
   SELECT CASE WHEN split_part(context_key, '::', 2) = '' THEN context_key ELSE split_part(context_key, '::', 2) END AS concept,
-    ca AS chunk_a_id, cb AS chunk_b_id, va || ' ' || unit AS value_a, vb || ' ' || unit AS value_b, {_SEVERITY} AS severity,
+    ca AS chunk_a_id, cb AS chunk_b_id, va AS value_a, vb AS value_b, {_SEVERITY} AS severity,
     CASE WHEN la <= lb THEN ka ELSE kb_ END AS resolved_doc_key FROM cp WHERE n = 1
 )"""
 
-_DEFS = r"""defs AS (
+_DEFS = """defs AS (
   SELECT chunk_id, pattern_no, i AS match_no, trim(g1[i]) AS term, trim(g2[i]) AS definition_text FROM (SELECT *, unnest(range(1, len(g1) + 1)) AS i FROM (
-    SELECT id AS chunk_id, 0 AS pattern_no, regexp_extract_all(raw_text, '\b([A-Z][a-zA-Z]{2,40})\s+is defined as\s+([^.]+)\.', 1) AS g1,
-      regexp_extract_all(raw_text, '\b([A-Z][a-zA-Z]{2,40})\s+is defined as\s+([^.]+)\.', 2) AS g2 FROM kb
-    UNION ALL SELECT id, 1, regexp_extract_all(raw_text, '\b([A-Z][a-zA-Z]{2,40})\s+means\s+([^.]+)\.', 1),
-      regexp_extract_all(raw_text, '\b([A-Z][a-zA-Z]{2,40})\s+means\s+([^.]+)\.', 2) FROM kb))
-)"""
+    %s))
+)""" % " UNION ALL ".join(
+    f"SELECT id AS chunk_id, {n} AS pattern_no, regexp_extract_all(raw_text, '{p}', 1) AS g1, regexp_extract_all(raw_text, '{p}', 2) AS g2 FROM kb"
+    for n, p in enumerate(DEFINITION_PATTERNS)
+)
 _DEFCONF = f"""{_DEFS}, dd AS (
   SELECT defs.*, department, lower(term) AS k, (chunk_id * 10 + pattern_no) * 1000 + match_no AS o,
     list_distinct(regexp_extract_all(lower(definition_text), '[a-z]+')) AS ws,
@@ -395,19 +404,19 @@ tags AS (
   WHERE NOT EXISTS (SELECT 1 FROM kb WHERE (doc_key = a.doc_key AND supersedes_doc_key = b.doc_key) OR (doc_key = b.doc_key AND supersedes_doc_key = a.doc_key))
 )"""
 _EDGES = f"""{_ENTITIES}, {_META}, {_REFS}, {_STATE}, {_TAGS}, rel AS (
-  SELECT * FROM meta UNION ALL SELECT * FROM refs UNION ALL SELECT * FROM state UNION ALL SELECT * FROM tags
+  SELECT *, 0 AS step FROM meta UNION ALL SELECT *, 1 FROM refs UNION ALL SELECT *, 2 FROM state UNION ALL SELECT *, 3 FROM tags
 ), known AS (
-  SELECT name, CASE WHEN entity_type IN ('Policy', 'Process', 'Documentation') THEN 'Document' ELSE entity_type END AS family, min(id) AS id FROM ent GROUP BY ALL
+  SELECT name, min(id) AS id FROM ent GROUP BY name
 ), res AS (
   SELECT rel.*, s.id AS source_entity_id, t.id AS target_entity_id FROM rel
-  LEFT JOIN known s ON s.name = source AND s.family = source_type LEFT JOIN known t ON t.name = target AND t.family = target_type
+  LEFT JOIN known s ON s.name = source LEFT JOIN known t ON t.name = target
 ), edge AS (
-  SELECT source_entity_id, target_entity_id, relation_type, max(confidence) AS confidence FROM res
+  SELECT source_entity_id, target_entity_id, relation_type, first(confidence ORDER BY step, confidence DESC) AS confidence FROM res
   WHERE source_entity_id IS NOT NULL AND target_entity_id IS NOT NULL GROUP BY ALL
 )"""
-_FOUND = """docent AS (SELECT k.id AS doc, known.id AS entity FROM kb k JOIN known ON known.name = k.doc_key AND known.family = 'Document'),
+_FOUND = """docent AS (SELECT k.id AS doc, known.id AS entity FROM kb k JOIN known ON known.name = k.doc_key),
 found AS (
-  SELECT least(a.entity, b.entity) AS source_entity_id, greatest(a.entity, b.entity) AS target_entity_id, relation_type, max(c) AS confidence FROM (
+  SELECT least(a.entity, b.entity) AS source_entity_id, greatest(a.entity, b.entity) AS target_entity_id, relation_type, first(c ORDER BY chunk_a_id, chunk_b_id) AS confidence FROM (
     SELECT chunk_a_id, chunk_b_id, 'conflicts_with' AS relation_type, 1.0::DOUBLE AS c FROM conf
     UNION ALL SELECT chunk_a_id, chunk_b_id, 'duplicate_of', similarity_score FROM dups) p
   JOIN docent a ON a.doc = chunk_a_id JOIN docent b ON b.doc = chunk_b_id WHERE a.entity <> b.entity GROUP BY ALL
@@ -484,16 +493,19 @@ ORACLES = {
           (SELECT count(*) FROM res WHERE source_entity_id IS NULL OR target_entity_id IS NULL) AS skipped_unresolved""",
     ),
     "neighbourhood_k2": _with(
+        _CONFLICTS,
+        _DUPS,
         _EDGES,
-        query="""SELECT e.* FROM ed e JOIN r2 a ON a.id = e.source_entity_id JOIN r2 b ON b.id = e.target_entity_id""".replace(
-            "SELECT e.*",
-            """, ed AS (SELECT * FROM edge WHERE relation_type <> 'applies_to'),
-          un AS (SELECT source_entity_id AS u, target_entity_id AS v FROM ed UNION SELECT target_entity_id, source_entity_id FROM ed),
-          r0 AS (SELECT min(id) AS id FROM ent WHERE lower(name) = 'doc-10'),
-          r1 AS (SELECT id FROM r0 UNION SELECT v FROM un JOIN r0 ON id = u), r2 AS (SELECT id FROM r1 UNION SELECT v FROM un JOIN r1 ON id = u)
-          SELECT e.*""",
-        ),
-    ).replace(") , ed AS", "), ed AS"),
+        _FOUND,
+        """ed AS (
+          SELECT * FROM edge UNION ALL SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.relation_type = f.relation_type
+            AND least(e.source_entity_id, e.target_entity_id) = f.source_entity_id AND greatest(e.source_entity_id, e.target_entity_id) = f.target_entity_id)
+        ), un AS (SELECT source_entity_id AS u, target_entity_id AS v FROM ed UNION SELECT target_entity_id, source_entity_id FROM ed),
+        r0 AS (SELECT min(id) AS id FROM ent WHERE lower(name) = 'doc-10'),
+        r1 AS (SELECT id FROM r0 UNION SELECT v FROM un JOIN r0 ON id = u), r2 AS (SELECT id FROM r1 UNION SELECT v FROM un JOIN r1 ON id = u)""",
+        recursive=True,
+        query="SELECT e.* FROM ed e JOIN r2 a ON a.id = e.source_entity_id JOIN r2 b ON b.id = e.target_entity_id",
+    ),
     "related_documents": _with(
         _CONFLICTS,
         _DUPS,
@@ -512,7 +524,7 @@ ORACLES = {
             WHEN 'owned_by' THEN 3 WHEN 'applies_to' THEN 4 ELSE 9 END, source_entity_id, target_entity_id, relation_type) AS rank FROM sides
         ), lists AS (
           SELECT r.id, string_agg(o.name || '|' || o.entity_type || '|' || relation_type, ';' ORDER BY rank) AS l FROM ranked r JOIN ent o ON o.id = other WHERE rank <= 4 GROUP BY r.id
-        ) SELECT e.name, string_agg(l, '#' ORDER BY l) AS related FROM lists JOIN ent e USING (id) GROUP BY e.name""",
+        ) SELECT name, l AS related FROM lists JOIN known USING (id)""",
     ).replace(") , alle AS", "), alle AS"),
     "search_results": _with(
         _CONFLICTS,
@@ -539,7 +551,9 @@ ORACLES = {
         _EDGES,
         recursive=True,
         query="""SELECT d AS documents, o AS potentially_outdated, (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM edge) AS relationships, c AS conflicts,
-          k AS duplicate_clusters, CASE WHEN c > 0 OR k > 0 THEN round(100.0::DOUBLE * (1.0::DOUBLE - c / greatest(d, 1)), 1) END AS integrity_score
+          k AS duplicate_clusters, CASE WHEN c > 0 OR k > 0 THEN CAST(printf('%.1f', 100.0::DOUBLE * (1.0::DOUBLE - c / greatest(d, 1))) AS DOUBLE) END AS integrity_score,
+          (SELECT string_agg(department || '=' || n, ';' ORDER BY department) FROM (SELECT department, count(*) AS n FROM kb GROUP BY department)) AS documents_by_department,
+          (SELECT string_agg(status || '=' || n, ';' ORDER BY status) FROM (SELECT status, count(*) AS n FROM kb GROUP BY status)) AS documents_by_status
           FROM (SELECT count(*) AS d, count(*) FILTER (status = 'superseded') AS o FROM kb), (SELECT count(*) AS c FROM conf),
           (SELECT count(DISTINCT cluster_id) AS k FROM clus)""",
     ),

@@ -96,26 +96,32 @@ grams AS (
 )
 """
 
-#: Sentences placed one after the other: k counts chunks, n the tokens of the open one.
-CHUNKED = f"""
-s AS (SELECT doc_id, {SENTENCES} AS ss FROM documents),
-t AS (
+
+
+def chunked_sql(source: str, doc: str, text: str, max_tokens: int) -> str:
+    """Sentences placed one after the other: k counts chunks, n the tokens of the open one."""
+    return f"""
+c_s AS (SELECT {doc} AS doc_id, {SENTENCES.replace("string_split(text,", f"string_split({text},")} AS ss FROM {source}),
+c_t AS (
   SELECT doc_id, i, x, CAST(len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')) AS INT) AS tok
-  FROM (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS x FROM s)
-), r AS (
-  SELECT doc_id, i, CAST(0 AS INT) AS k, tok AS n, tok FROM t WHERE i = 1
-  UNION ALL SELECT t.doc_id, t.i, CASE WHEN r.n + t.tok > 220 THEN r.k + 1 ELSE r.k END,
-    CASE WHEN r.n + t.tok > 220 THEN r.tok + t.tok ELSE r.n + t.tok END, t.tok
-  FROM r JOIN t ON t.doc_id = r.doc_id AND t.i = r.i + 1
-), placed AS (
-  SELECT doc_id, k, i, x, tok FROM r JOIN t USING (doc_id, i, tok)
-  UNION ALL SELECT doc_id, k + 1, max(i), arg_max(x, i), arg_max(tok, i) FROM r JOIN t USING (doc_id, i, tok) GROUP BY doc_id, k
+  FROM (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS x FROM c_s)
+), c_r AS (
+  SELECT doc_id, i, CAST(0 AS INT) AS k, tok AS n, tok FROM c_t WHERE i = 1
+  UNION ALL SELECT t.doc_id, t.i, CASE WHEN r.n + t.tok > {max_tokens} THEN r.k + 1 ELSE r.k END,
+    CASE WHEN r.n + t.tok > {max_tokens} THEN r.tok + t.tok ELSE r.n + t.tok END, t.tok
+  FROM c_r r JOIN c_t t ON t.doc_id = r.doc_id AND t.i = r.i + 1
+), c_placed AS (
+  SELECT doc_id, k, i, x, tok FROM c_r JOIN c_t USING (doc_id, i, tok)
+  UNION ALL SELECT doc_id, k + 1, max(i), arg_max(x, i), arg_max(tok, i) FROM c_r JOIN c_t USING (doc_id, i, tok) GROUP BY doc_id, k
 ), chunk AS (
-  SELECT doc_id AS document_id, k AS chunk_index, string_agg(x, ' ' ORDER BY i) AS text, CAST(sum(tok) AS INT) AS token_count FROM placed
-  WHERE (doc_id, k) IN (SELECT doc_id, k FROM r) GROUP BY doc_id, k
+  SELECT doc_id AS document_id, k AS chunk_index, string_agg(x, ' ' ORDER BY i) AS text, CAST(sum(tok) AS INT) AS token_count FROM c_placed
+  WHERE (doc_id, k) IN (SELECT doc_id, k FROM c_r) GROUP BY doc_id, k
 )
 """
 
+
+CHUNKED = chunked_sql("documents", "doc_id", "text", 220)
+
 ORACLES = {
     "chunk_table": f"WITH RECURSIVE {CHUNKED} SELECT document_id, chunk_index, token_count, sha256(text) AS digest FROM chunk",
     "chunk_summary": f"""WITH RECURSIVE {CHUNKED} SELECT document_id, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens FROM chunk
