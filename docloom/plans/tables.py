@@ -69,6 +69,22 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which :func:`sized` has a table broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(table: DataFrame, most: int | None = None) -> DataFrame:
+    """``table`` with a broadcast hint if its rows, counted first, are small enough, else as it is.
+
+    For written tables, which are cheap to count. Texts and binaries count by
+    their length, any other value as 16 bytes.
+    """
+    long = [F.coalesce(F.octet_length(n), F.lit(0)) for n, t in table.dtypes if t in ("string", "binary")]
+    size = sum(long, F.lit(16 * len(table.columns)))
+    held = table.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if held <= (BROADCAST_BYTES if most is None else most) else table
+
+
 def running_totals(rows: DataFrame, order: list, totals: dict[str, Column], label: str = "ranges") -> DataFrame:
     """Adds, for each name in ``totals``, the sum of its value over all rows before, in a global ``order``.
 

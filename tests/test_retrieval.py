@@ -1,12 +1,14 @@
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import bm25, dense, evaluation, fusion
+from docloom.operators import bm25, dense, evaluation, fusion, lsa
 from docloom.operators.lsa import LsaEncoder
 from docloom.operators.rerank import TfidfReranker
-from docloom.plans import retrieval_queries
 from docloom.plans.tables import new_path
-from tests.test_oracles import SF
 
 CHUNKS = [
     (1, "Staff may work from home three days a week."),
@@ -120,15 +122,44 @@ def test_ground_truth(spark, chunks):
     assert got == {"c1": (11, True), "c2": (10, False)}
 
 
-def test_lsa_query_runs_at_full_size(spark, monkeypatch):
-    made = []
+def test_lsa_equals_a_dense_svd(spark):
+    """Cosines of projected texts, by either side of the matrix, against numpy's SVD over all terms."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}".split()) for _ in range(30)) for k in [0, 1, 2, 3] * 6]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    asked = ["a0 b0 c0", "d1 e1 a2", "zebra", ""]
+
+    def grams(t):
+        w = t.split()
+        return w + [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
+
+    vocabulary = sorted({g for t in texts for g in grams(t)})
+    idf = {g: math.log((1 + len(texts)) / (1 + sum(g in grams(t) for t in texts))) + 1 for g in vocabulary}
+
+    def vector(t):
+        v = np.array([grams(t).count(g) * idf[g] for g in vocabulary])
+        return v / (np.linalg.norm(v) or 1)
+
+    matrix = np.array([vector(t) for t in texts])
+    v = np.linalg.svd(matrix, full_matrices=False)[2][:4].T
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = unit(np.array([vector(t) for t in asked]) @ v) @ unit(matrix @ v).T
+    for bound in (None, 10**6):
+        encoder = LsaEncoder(dims=4, max_features=bound, stop_words=(), steps=40).fit(df)
+        made = {r["chunk_id"]: np.array(r["embedding"]) for r in encoder.encode(df).collect()}
+        queries = {r["query_id"]: np.array(r["embedding"]) for r in encoder.encode(ask(spark, *asked), "query_id").collect()}
+        got = np.array([[queries[i] @ made[j] for j in range(len(texts))] for i in range(len(asked))])
+        assert np.abs(got - want).max() < 1e-4, bound
+    with pytest.raises(ValueError):
+        LsaEncoder().fit(df.limit(0))
+
+
+def test_lsa_refuses_what_the_driver_cannot_hold(spark, chunks, monkeypatch):
+    monkeypatch.setattr(lsa, "HELD_BYTES", 16)
+    with pytest.raises(ValueError, match="max_features"):
+        LsaEncoder().fit(chunks)
 
-    class Seen(LsaEncoder):
-        def fit(self, chunks):
-            made.append((self.dims, self.max_features, self.steps))
-            raise InterruptedError
 
-    monkeypatch.setattr(retrieval_queries, "LsaEncoder", Seen)
-    with pytest.raises(InterruptedError):
-        retrieval_queries.lsa_topk(spark, SF)
-    assert made == [(100, 20_000, 6)]
+def test_lsa_query_takes_all_terms():
+    found = LsaEncoder()
+    assert (found.dims, found.max_features) == (100, None)
