@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import facts, fixed
 from docloom.functions.text import normalize_blanks, split_tags
 from docloom.operators.ingest import number_rows
-from docloom.plans.tables import materialize
+from docloom.plans.tables import materialize, sized
 
 
 def entity_type(doc_type: Column) -> Column:
@@ -101,8 +101,8 @@ def reference_relations(documents: DataFrame) -> DataFrame:
     document's own, the document itself, and the one that it supersedes.
     A title may begin and end inside a word, so candidates are found by
     characters: the body's distinct stretches of ``GRAM`` characters meet the
-    titles whose rarest stretch it is, an equi-join; the substring test is
-    then exact.
+    titles whose rarest stretch it is, an equi-join, in place while these are few
+    enough to be broadcast; the substring test is then exact.
     """
     titles = documents.where(F.length("title") >= fixed.MIN_TITLE).select(F.col("doc_key").alias("target"), F.lower("title").alias("t"))
     # Each title is found by its stretch that fewest titles have.
@@ -112,7 +112,8 @@ def reference_relations(documents: DataFrame) -> DataFrame:
     titles = titles.select("target", "t", F.col("g.gram").alias("gram"))
     body = F.lower(normalize_blanks(F.coalesce("raw_text", F.lit(""))))
     d = documents.select("doc_key", F.lower("title").alias("own"), "supersedes_doc_key", body.alias("body"))
-    starts = titles.select("gram").distinct()
+    titles = materialize(titles, "titles")
+    starts = sized(materialize(titles.select("gram").distinct(), "starts"))
     met = d.select("doc_key", F.explode(_stretches("body")).alias("gram")).join(starts, "gram").join(titles, "gram").select("doc_key", "t", "target")
     tested = met.join(d, "doc_key").where(
         F.contains("body", F.col("t"))

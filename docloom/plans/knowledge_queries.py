@@ -218,9 +218,11 @@ def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Found contradictions against a truth of neighbouring chunks."""
+    """Found contradictions against those that the parts' sizes imply: documents of one grade with other windows."""
     b = Base(spark, sf_dir)
-    truth = b.docs.select(F.col("id").alias("chunk_b_id"), (F.col("id") + 1).alias("chunk_a_id"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_partkey") % 4).alias("grade"), "p_size")
+    other = part.select(F.col("id").alias("chunk_b_id"), "grade", F.col("p_size").alias("size_b"))
+    truth = part.join(other, "grade").where("id < chunk_b_id AND p_size <> size_b").select(F.col("id").alias("chunk_a_id"), "chunk_b_id")
     return evaluation.validate_pairs(truth, b.contradictions(), "chunk_a_id", "chunk_b_id")
 
 
@@ -578,7 +580,9 @@ ORACLES = {
     "detector_validation": _with(
         _VERSIONS,
         _CONTRA,
-        query="""SELECT (SELECT count(*) FROM (SELECT least(chunk_a_id, chunk_b_id), greatest(chunk_a_id, chunk_b_id) FROM contra INTERSECT SELECT id, id + 1 FROM kb)) AS hits,
-          (SELECT count(*) FROM kb) AS truth, (SELECT count(*) FROM (SELECT DISTINCT least(chunk_a_id, chunk_b_id), greatest(chunk_a_id, chunk_b_id) FROM contra)) AS found""",
+        """truth AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b
+          ON a.p_partkey - a.p_partkey % 4 = b.p_partkey - b.p_partkey % 4 AND a.p_partkey < b.p_partkey AND a.p_size <> b.p_size),
+        fnd AS (SELECT DISTINCT least(chunk_a_id, chunk_b_id) AS a, greatest(chunk_a_id, chunk_b_id) AS b FROM contra)""",
+        query="""SELECT (SELECT count(*) FROM truth JOIN fnd USING (a, b)) AS hits, (SELECT count(*) FROM truth) AS truth, (SELECT count(*) FROM fnd) AS found""",
     ),
 }
