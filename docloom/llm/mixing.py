@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.tables import materialize, running_totals
+from docloom.plans.tables import materialize, running_totals, sized
 
 WEIGHTS, SHARE, MAX_REPEAT = (5.0, 2.0, 1.0), 1.5, 2
 
@@ -80,7 +80,7 @@ def mix_sources(
     by_name = F.col("source").asc_nulls_last()
     rows = running_totals(rows, [by_name, "u", "doc_id", "size"], {"start": F.col("size")}, "queue")
     # One row per source: broadcast while small, else joined by a shuffle that AQE splits at hot sources.
-    few = targets.withColumnRenamed("source", "t_source")
+    few = sized(targets.withColumnRenamed("source", "t_source"))
     rows = rows.join(few, rows["source"].eqNullSafe(few["t_source"])).drop("t_source")
     rows = materialize(rows.withColumn("start", F.col("start") - F.col("before")).drop("before"), "queued")
     copies = rows.where("size > 0 AND target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))

@@ -9,7 +9,7 @@ a hash that stands in a bucket more than once was sent by more than one batch.
 Those, and the ones that a batch saw twice itself, are repeated. Their places go
 back to their batch, overlapping windows merge to maximal intervals of words,
 and one join brings each document its intervals; texts are shuffled for it only
-where the intervals outgrow Spark's limit for broadcasts.
+where the intervals outgrow a broadcast.
 
 A window that repeats a million times costs a row for each batch that has it,
 not for each time. Buckets are as many as the data's size asks for, and Spark
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.arrow import add_columns
-from docloom.plans.tables import materialize
+from docloom.plans.tables import materialize, sized
 
 WINDOW = 35
 #: Bytes of text for each task that counts; places in a row of the shuffle lie within one block of words.
@@ -305,9 +305,8 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     null. Other columns are dropped.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Written first, so that Spark knows its size and needn't move the texts to a short list.
-    spans = materialize(repeated_spans(rows, window, **options).distinct(), "spans")
-    spans = spans.withColumnsRenamed({"doc_id": "s_id", "key": "s_key"})
+    # Written first and counted, so that the texts needn't move to a short list.
+    spans = sized(materialize(repeated_spans(rows, window, **options).distinct(), "spans").withColumnsRenamed({"doc_id": "s_id", "key": "s_key"}))
     same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64("text") == F.col("s_key"))
     return rows.join(spans, same, "left").select("doc_id", "text", "spans")
 

@@ -65,3 +65,18 @@ def test_nulls_empty_ties_repeats_and_clashing_columns(spark):
     assert all(r["taken"] == 0 for r in out if r["size"] == 0)
     assert mix(df.limit(0)).count() == 0
     assert [r["taken"] for r in mix(docs(spark, [(1, "", "en", "a")])).collect()] == [0]
+
+
+def test_many_sources(spark):
+    sizes = {f"s{i:05d}": 1 + (i * 7919) % 97 for i in range(3000)} | {"s00007": 90_000, None: 400}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_no_window_over_all_rows(spark):
+    """Only sums per range, a row for each partition, are in one task."""
+    df = docs(spark, [(i, "w " * (1 + i % 9), "en", "ab"[i % 2]) for i in range(50)])
+    plan = mix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

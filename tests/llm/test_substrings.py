@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from docloom.llm import substrings as ss
+from docloom.plans import tables
 from tests.llm.helpers import SF, docs, same_as_oracle, tuples
 
 
@@ -90,3 +91,9 @@ def test_one_shuffle_of_windows_and_none_of_texts(spark):
     df = docs(spark, [(1, "a b c " * 30), (2, "a b c " * 30)]).select("doc_id", "text")
     plan = ss.seen_again(df.mapInArrow(ss._send(35, 8), ss.PART).repartition(8, "bucket"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_many_intervals_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
+    rows = [(i, "a b c d e f " * (i % 4)) for i in range(30)] + [(None, "a b c d e f " * 2)]
+    assert run(spark, rows, 4) == brute(rows, 4)
