@@ -13,8 +13,8 @@ only the items' own shingles that stand in a candidate are counted.
 A probe is one pass over the documents joined with the sketches, whose size is
 checked before they are broadcast; bigger ones are joined by a shuffle, which
 AQE splits where a frequent shingle fills a partition. The documents that it
-finds are written as a table of keys. Texts move only where that table outgrows
-Spark's own limit for broadcasts, else the candidates' texts are picked in place.
+finds are written as a table of keys and counted. Texts move only where that
+table outgrows a broadcast, else the candidates' texts are picked in place.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.tables import materialize
+from docloom.plans.tables import materialize, sized
 
 SHINGLE, THRESHOLD = 5, 0.8
 WORD = r"[\p{L}\p{N}]+"
@@ -100,7 +100,7 @@ def find_leaks(
     if sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
     # A document's hits are one row before they are shuffled.
-    found = materialize(probe.join(sketch, "h").select("doc_id", "doc_key").distinct(), "candidates")
+    found = sized(materialize(probe.join(sketch, "h").select("doc_id", "doc_key").distinct(), "candidates"))
     found = found.withColumnsRenamed({"doc_id": "f_id", "doc_key": "f_key"})
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("doc_key") == F.col("f_key"))
     held = rows.join(found, same, "left_semi").dropDuplicates(["doc_id", "doc_key"])
@@ -108,7 +108,7 @@ def find_leaks(
     held = held.select("doc_id", "doc_key", F.explode_outer("held").alias("shingle"))
     own = items.select("item_id", F.xxhash64("w").alias("item_key"), _shingles(F.col("w"), _text).alias("own"))
     own = own.select("item_id", "item_key", F.size("own").cast("long").alias("n_item"), F.explode("own").alias("shingle"))
-    counted = held.join(materialize(own, "shingles"), "shingle").groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item")
+    counted = held.join(sized(materialize(own, "shingles")), "shingle").groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item")
     counted = counted.agg(F.count("*").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
     counted = counted.where(F.col("containment") >= threshold).drop("item_key")
     return counted.select("doc_id", "doc_key", "item_id", "n_shared", "n_item", "containment").distinct()
@@ -120,8 +120,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         F.col("doc_id").alias("__leak_id"), F.col("doc_key").alias("__leak_key")
     )
     key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    # Written first, so that Spark knows its size and needn't move the documents to a short list.
-    leaks = materialize(leaks.distinct(), "leaks")
+    # Written first and counted, so that the documents needn't move to a short list.
+    leaks = sized(materialize(leaks.distinct(), "leaks"))
     return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("__leak_id")) & (key == F.col("__leak_key")), "left_anti")
 
 

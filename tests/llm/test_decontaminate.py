@@ -1,6 +1,7 @@
 import re
 
 from docloom.llm import decontaminate as dc
+from docloom.plans import tables
 from tests.llm.helpers import SF, docs, same_as_oracle, tuples
 
 ITEM = "item_id long, text string"
@@ -83,3 +84,10 @@ def test_empty_tables_and_repeated_items(spark):
     assert dc.find_leaks(docs(spark, [(1, TEXT)]), items.limit(0)).count() == 0
     assert dc.drop_leaks(docs(spark, [(1, TEXT)]), items.limit(0)).count() == 1
     assert tuples(dc.find_leaks(docs(spark, [(1, TEXT), (1, TEXT)]), items), "doc_id", "item_id") == [(1, 1)]
+
+
+def test_many_candidates_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
+    same_as_oracle(dc.op5_decontamination(spark, SF), dc.OP5_SQL)
+    df = docs(spark, [(1, TEXT), (1, "clean"), (None, TEXT), (None, "fine"), (3, TEXT), (3, TEXT)])
+    assert dc.drop_leaks(df, spark.createDataFrame([(1, TEXT)], ITEM)).count() == 2
