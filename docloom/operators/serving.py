@@ -23,6 +23,21 @@ def check_search(method: str, top_k: int, query: str | None = None) -> None:
         raise ValueError("the query is empty")
 
 
+def lookup(rows: DataFrame, column: str, values: list | DataFrame) -> DataFrame:
+    """Rows whose key ``column`` is one of ``values``, a short list or a table with that column.
+
+    Raises LookupError if a value of a list has no row; values of a table that
+    have none are left out.
+    """
+    if isinstance(values, DataFrame):
+        return rows.join(values.select(column).distinct(), column, "left_semi")
+    found = rows.where(F.col(column).isin(*values))
+    missing = set(values) - {r[0] for r in found.select(column).distinct().limit(len(values) + 1).collect()}
+    if missing:
+        raise LookupError(f"no {column} {', '.join(sorted(map(str, missing)))}")
+    return found
+
+
 def list_documents(documents: DataFrame, department: str | None = None, status: str | None = None, doc_type: str | None = None) -> DataFrame:
     """Documents that equal every filter given, by department and title, with their authority's name."""
     out = documents

@@ -132,6 +132,15 @@ def kb_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("chunk_id", "document_id", "chunk_index", "token_count", F.sha2("text", 256).alias("digest"))
 
 
+def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by their ids, those of every document's first chunk, and documents by their keys."""
+    b = Chunked(spark, sf_dir)
+    wanted = serving.first_chunks(b.chunks).select(F.col("first_chunk_id").alias("chunk_id"))
+    chunks = serving.lookup(b.chunks, "chunk_id", wanted)
+    one = serving.lookup(b.docs, "doc_key", ["doc-10"]).select(F.col("id").alias("document_id"), F.lit(True).alias("asked"))
+    return chunks.join(one, "document_id", "left").select("chunk_id", "document_id", F.coalesce("asked", F.lit(False)).alias("asked"))
+
+
 def first_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.first_chunks(Chunked(spark, sf_dir).chunks)
 
@@ -289,6 +298,7 @@ QUERIES = {
         ground_truth_rows,
         bm25_saved_topk,
         kb_chunks,
+        chunk_lookup,
         first_chunks,
         ground_truth_chunks,
         snippet_chunks,
@@ -422,6 +432,9 @@ ORACLES = {
     "kb_chunks": kq._with(
         _CHUNKS, recursive=True, query="SELECT id AS chunk_id, document_id, chunk_index, token_count, sha256(raw_text) AS digest FROM kc"
     ),
+    "chunk_lookup": kq._with(
+        _CHUNKS, recursive=True, query="SELECT min(id) AS chunk_id, document_id, max(doc_key) = 'doc-10' AS asked FROM kc GROUP BY document_id"
+    ),
     "first_chunks": kq._with(_CHUNKS, recursive=True, query="SELECT document_id, min(id) AS first_chunk_id FROM kc GROUP BY document_id"),
     "ground_truth_chunks": kq._with(
         _CHUNKS,

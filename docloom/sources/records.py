@@ -40,6 +40,12 @@ def read_ground_truth(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{name}.json").select(F.explode(array).alias("r")).select("r.*")
 
 
+def read_words(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Distinct words of a file, one a line, in lower case and order: a list of stop words to pass to an operator."""
+    lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where("w <> ''").distinct().orderBy("w")
+    return tuple(r["w"] for r in lines.collect())
+
+
 def write_json(df: DataFrame, folder: str) -> None:
     """Rows as JSON lines, replacing what is there."""
     df.write.mode("overwrite").json(folder)
