@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from docloom.llm import wide
 from docloom.llm.arrow import add_columns
 from docloom.operators.components import connected_components
-from docloom.plans.tables import materialize
+from docloom.plans.tables import materialize, sized
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BITS = 31
@@ -258,12 +258,14 @@ def _alike(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle:
     added = {"words": (T.BinaryType(), pa.binary()), **dict.fromkeys(WORDS, long), "anchors": many}
 
     def fingerprints(texts: list) -> list[list]:
-        found = [wide.counts(t, shingle) for t in texts]
-        if not found:
-            return [[] for _ in added]
-        ones = np.stack([c for _, c in found])
-        fps = wide.bits_of(ones).view(np.int64)
-        return [[w for w, _ in found], *fps.T, list(wide.anchors(ones))]
+        out: list[list] = [[] for _ in added]
+        # A few texts at a time: the counts behind the bits take much more room than the bits.
+        for i in range(0, len(texts), 256):
+            found = [wide.counts(t, shingle) for t in texts[i : i + 256]]
+            ones = np.stack([c for _, c in found])
+            for column, values in zip(out, [[w for w, _ in found], *wide.bits_of(ones).view(np.int64).T, wide.anchors(ones)], strict=True):
+                column.extend(values)
+        return out
 
     rows = materialize(add_columns(rows, ["t"], added, fingerprints).drop("t"), "simhash")
     first = F.first(F.struct(*WORDS, "anchors")).alias("x")
@@ -318,10 +320,10 @@ def keep_one(
     first = rows.groupBy("label").agg(F.min(rank).alias("r")).select("label", "r.doc_id", "r.doc_key")
     first = first.withColumnsRenamed({"label": "f_label", "doc_id": "f_id", "doc_key": "f_key"})
     same = (F.col("label") == F.col("f_label")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("doc_key") == F.col("f_key"))
-    # Keys of rows that go, and of kept rows that repeat: few beside all rows, so that texts move only if these are many.
-    gone = materialize(rows.join(first, same, "left_anti").select("doc_id", "doc_key").distinct(), "gone")
+    # Keys of rows that go, and of kept rows that repeat: texts move only where these outgrow a broadcast.
+    gone = sized(materialize(rows.join(first, same, "left_anti").select("doc_id", "doc_key").distinct(), "gone"))
     twice = rows.join(first, same, "left_semi").groupBy("doc_id", "doc_key").count().where("count > 1").select("doc_id", "doc_key")
-    twice = materialize(twice, "twice")
+    twice = sized(materialize(twice, "twice"))
 
     def among(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = keys.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__k"))

@@ -31,6 +31,8 @@ LENGTH, PARTS, TABLES = 64, 3, 16
 #: Groups at one anchor up to SMALL are compared pair by pair; over SPLIT they are divided by further rotations first.
 SMALL, SPLIT, FURTHER = 24, 2048, 8
 SEED = 42
+#: What makes further 64-bit hashes of one.
+LANES = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
 
 def bits_at(similarity: float) -> int:
@@ -55,19 +57,18 @@ def counts(text: str | None, shingle: int) -> tuple[bytes, np.ndarray]:
     line = b" ".join(words)
     whole = xxhash.xxh3_128_digest(line, SEED)
     if not words:
-        return whole, np.zeros(WIDE, np.int64)
+        return whole, np.zeros(WIDE, np.int32)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     ends = ends.tolist()
     digest = xxhash.xxh3_64_intdigest
     n = min(shingle, len(words))
     h = np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, ends[n - 1 :], strict=False)), np.uint64))
-    ones = np.zeros(WIDE, np.int64)
-    for k in range(WIDE // 64):
-        lanes = _mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype("<u8").view(np.uint8).reshape(-1, 8)
-        for i in range(0, len(lanes), 255):
-            part = np.unpackbits(lanes[i : i + 255], axis=1, bitorder="little")
-            ones[64 * k : 64 * k + 64] += np.add.reduce(part, axis=0, dtype=np.uint8)
+    ones = np.zeros(WIDE, np.int32)
+    for i in range(0, len(h), 255):
+        lanes = _mix(h[i : i + 255, None] + LANES).astype("<u8", copy=False).view(np.uint8)
+        # At most 255 ones a bit, which a byte holds.
+        ones += np.add.reduce(np.unpackbits(lanes, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return whole, 2 * ones - len(h)
 
 

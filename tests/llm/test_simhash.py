@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from docloom.llm import simhash, wide
+from docloom.plans import tables
 from tests.llm.helpers import SF, docs, tuples
 
 
@@ -228,3 +229,11 @@ def test_wide_fingerprints_of_odd_texts():
     ones = wide.counts(long, 5)[1]
     assert abs(int(ones[0])) <= 4**5 and wide.anchors(ones[None, :]).shape == (1, 2 * wide.TABLES)
     assert len(np.unique(wide.anchors(ones[None, :]) // (2 * wide.LENGTH) ** wide.PARTS)) == wide.TABLES
+
+
+def test_many_rows_that_go_are_joined_by_a_shuffle(spark, monkeypatch):
+    rows = [(i, f"one text of {i % 7}") for i in range(40)] + [(None, "one text of 3"), (2, "one text of 2"), (2, "one text of 2")]
+    want = [sorted(map(str, simhash.keep_one(docs(spark, rows), similarity=s).collect())) for s in (None, 0.8)]
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
+    assert want == [sorted(map(str, simhash.keep_one(docs(spark, rows), similarity=s).collect())) for s in (None, 0.8)]
+    assert len(want[1]) == 7
