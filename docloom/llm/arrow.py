@@ -9,13 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+#: Rows that are Python values at a time; Arrow batches may have many more.
+ROWS = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows."""
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(i, rows)
+
+
 def add_columns(
     df: DataFrame, needs: list[str], added: dict[str, tuple[T.DataType, pa.DataType]], fn: Callable[..., list[list]]
 ) -> DataFrame:
     """Add columns that ``fn`` makes from the lists of values in ``needs``.
 
     ``fn`` gets one list per needed column and returns one list per added
-    column. It is a narrow step: no shuffle, one batch in memory at a time.
+    column. It is a narrow step: no shuffle, ``ROWS`` rows of a batch as Python
+    values at a time.
     Columns of ``df`` with the names of added ones are replaced.
     """
     df = df.drop(*(c for c in added if c not in needs))
@@ -25,7 +37,7 @@ def add_columns(
     kinds = [t[1] for t in added.values()]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             where = {n: i for i, n in enumerate(batch.schema.names)}
             got = fn(*(batch.column(where[n]).to_pylist() for n in needs))
             arrays = [batch.column(where[n]) for n in names] + [pa.array(g, k) for g, k in zip(got, kinds, strict=True)]

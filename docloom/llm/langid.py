@@ -45,7 +45,7 @@ MAX_STATES = 0x7FFE
 #: Codes of the dense tables; characters with higher codes step through the hash table.
 LANE, WIDTH = 256, 64
 #: Characters times languages parsed at a time: bounds a worker's memory (one text may exceed it).
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 NONE = "und"
 LETTER = re.compile(r"[^\W\d_]")
 

@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.arrow import add_columns
+from docloom.llm.arrow import add_columns, slices
 from docloom.plans.tables import materialize, sized
 
 WINDOW = 35
 #: Bytes of text for each task that counts; places in a row of the shuffle lie within one block of words.
 TASK_BYTES, BLOCK_WORDS = 64 << 20, 1 << 15
 #: Words that a batch gathers before it is sent (one document may exceed it).
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 19
 #: Word hashes kept in a worker's cache.
 CACHE = 200_000
 BASE = 0x9E3779B97F4A7C15
@@ -186,7 +186,7 @@ def _send(window: int, buckets: int):
             yield pa.RecordBatch.from_pylist([{"bucket": batch % buckets, "batch": batch, "documents": held_back}], PART_FIELDS)
             docs, hashes, sizes, held = [], [], [], 0
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 if len(words) < window:

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.plans.tables import new_path
+from docloom.llm.arrow import slices
+from docloom.plans.tables import discard_at_exit, new_path
 
 #: Uncompressed bytes after which an archive is closed; of these at most ``SAMPLE_BYTES`` train the dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES = 16 << 20, 2 << 20, 64 << 10
@@ -136,7 +137,7 @@ def _write(folder: str):
             number, records, held = number + 1, [], 0
             return row
 
-        for batch in batches:
+        for batch in slices(batches, 64):
             columns = [batch.column(i).to_pylist() for i in range(6)]
             for page, url, digest, payload, size, refers in zip(*columns, strict=True):
                 name = base64.b32encode(bytes.fromhex(digest)).decode()
@@ -275,7 +276,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    folder = new_path(spark, "warc")
+    folder = discard_at_exit(spark, new_path(spark, "warc"))
     write_warc(pages, folder)
     back = read_warc(spark, folder, payload=False)
     return back.select(
