@@ -37,10 +37,14 @@ def add_columns(
     kinds = [t[1] for t in added.values()]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in batches:
             where = {n: i for i, n in enumerate(batch.schema.names)}
-            got = fn(*(batch.column(where[n]).to_pylist() for n in needs))
-            arrays = [batch.column(where[n]) for n in names] + [pa.array(g, k) for g, k in zip(got, kinds, strict=True)]
+            parts: list[list[pa.Array]] = [[] for _ in kinds]
+            for part in slices([batch]):
+                got = fn(*(part.column(where[n]).to_pylist() for n in needs))
+                for column, g, k in zip(parts, got, kinds, strict=True):
+                    column.append(pa.array(g, k))
+            arrays = [batch.column(where[n]) for n in names] + [pa.concat_arrays(c) for c in parts]
             yield pa.RecordBatch.from_arrays(arrays, [*names, *added])
 
     return df.mapInArrow(step, schema)

@@ -182,7 +182,7 @@ def place_rows(rows: DataFrame, key: str, ranges: int) -> tuple[DataFrame, DataF
     keys = rows.select(key)
     quantiles = F.percentile_approx(key, [i / ranges for i in range(1, ranges)] or [0.5], F.lit(10 * ranges))
     cuts = sorted(set(keys.agg(quantiles).first()[0] or []))
-    literal = F.expr(f"array({','.join(f'bigint({str(c)!r})' for c in cuts)})")
+    literal = F.expr(f"array({','.join(f"bigint('{c}')" for c in cuts)})")
     number = F.size(F.filter(literal, lambda c: c < F.col(key))) if cuts else F.lit(0)
     place = F.when(F.col(key).isNull(), F.lit(0)).otherwise(number).cast("int")
     return rows.withColumn("r", place), keys.withColumn("r", place)
@@ -207,7 +207,11 @@ def with_next(docs: DataFrame, key: str, text: str, carried: list[str] = (), ran
     used = [r for r, _ in found]
     above = dict(zip(used, used[1:] + used[:1], strict=True))
     tops, last = dict(found), max(used, default=0)
-    listed = lambda of, kind: F.expr(f"cast(array({','.join('null' if (x := of.get(r)) is None else f'bigint({str(x)!r})' for r in range(last + 1))}) as array<{kind}>)")
+
+    def listed(of: dict, kind: str) -> Column:
+        values = ("null" if of.get(r) is None else f"bigint('{of[r]}')" for r in range(last + 1))
+        return F.expr(f"cast(array({','.join(values)}) as array<{kind}>)")
+
     # A range's first row stands once more after the last row of the range above; the very first one after all.
     is_first = F.col("k").eqNullSafe(F.get(listed(tops, "bigint"), F.col("r")))
     places = F.array(F.struct(F.col("r").alias("r"), F.lit(False).alias("tail")))

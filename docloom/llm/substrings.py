@@ -23,7 +23,6 @@ different windows are expected to meet, 0.002 at 4 * 10^9 windows (30 GB) and
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
