@@ -14,7 +14,7 @@ from docloom.operators.dense import _best
 from docloom.plans import tables
 from docloom.plans.tables import materialize, new_path, running_totals, sized
 from docloom.sources import records
-from tests.test_collection import CHUNK, RULE, chunk_rows, graph_docs, no_versions, put
+from tests.test_collection import CHUNK, chunk_rows, graph_docs, no_versions, put
 
 
 def test_half_even_rounds_like_python(spark):
