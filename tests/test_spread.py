@@ -1,8 +1,44 @@
 """Steps that must not grow faster than their input: how work is spread and what is shuffled."""
 
+from docloom.operators import graph
 from docloom.plans import adapters
 from tests.test_oracles import SF
 
+DOC = "id long, doc_key string, title string, department string, doc_type string, owner string, author string, supersedes_doc_key string, tags string, raw_text string, first_chunk_id long"
+
+
+def _tagged(spark, rows):
+    full = [(i, k, title, "HR", "Policy", None, "Ann", old, tags, "", i) for i, (k, title, old, tags) in enumerate(rows, 1)]
+    return spark.createDataFrame(full, DOC)
+
 
 def test_documents_of_one_small_file_fill_all_tasks(spark):
     assert adapters.documents(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_tag_pairs_are_not_shuffled(spark):
+    plan = graph.tag_relations(adapters.documents(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")] and "LeftAnti" not in plan[: plan.index("Join Inner")]
+
+
+def test_edges_equal_resolved_relations(spark, monkeypatch):
+    # Project Q is a key and a project's name; p1 and p2 share two tags; p3 supersedes p1; p4's key has no other tag than a large one.
+    rows = [("Project Q", "Charter", None, "x, big"), ("A", "Project Q Plan", None, "x"), ("p1", "One", None, "s,t"), ("p2", "Two", None, "t,s"), ("p3", "Three", "p1", "t"), ("p4", "Four", None, "hr")]
+    docs = _tagged(spark, rows + [(f"m{i:02}", "Many", None, "big") for i in range(40)]).cache()
+    entities = graph.extract_entities(docs).where("name <> 'm07'").cache()
+    relations = graph.extract_relations(docs).cache()
+    want, unresolved = graph.resolve_edges(relations, entities)
+    key = lambda df: sorted(map(tuple, df.select("source_entity_id", "target_entity_id", "relation_type", "confidence").collect()))
+    want = key(want)
+    tags = sorted((r["source"], r["target"]) for r in graph.tag_relations(docs).collect())
+    member = ["Project Q", *(f"m{i:02}" for i in range(40))]
+    big = [(a, b) for a in member for b in member if a < b]
+    assert tags == sorted([*big, ("A", "Project Q"), ("p1", "p2"), ("p2", "p3")])
+    monkeypatch.setattr(graph, "TAG_MEMBERS", 7)
+    edges = graph.Edges(docs, entities)
+    assert key(edges.all()) == want
+    assert edges.tallies().first().asDict() == {"found": relations.count(), "created": len(want), "skipped_unresolved": unresolved.count()}
+    some = {r["id"] for r in entities.where("name IN ('A', 'm03', 'm04', 'HR')").collect()}
+    ids = spark.createDataFrame([(i,) for i in some], "id long")
+    assert key(edges.touching(ids)) == [e for e in want if e[0] in some or e[1] in some]
+    assert key(edges.among(ids)) == [e for e in want if e[0] in some and e[1] in some]
