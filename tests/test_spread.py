@@ -1,7 +1,10 @@
 """Steps that must not grow faster than their input: how work is spread and what is shuffled."""
 
-from docloom.operators import graph
-from docloom.plans import adapters
+import numpy as np
+import pyarrow as pa
+
+from docloom.operators import dense, graph
+from docloom.plans import adapters, retrieval_queries
 from tests.test_oracles import SF
 
 DOC = "id long, doc_key string, title string, department string, doc_type string, owner string, author string, supersedes_doc_key string, tags string, raw_text string, first_chunk_id long"
@@ -42,3 +45,21 @@ def test_edges_equal_resolved_relations(spark, monkeypatch):
     ids = spark.createDataFrame([(i,) for i in some], "id long")
     assert key(edges.touching(ids)) == [e for e in want if e[0] in some or e[1] in some]
     assert key(edges.among(ids)) == [e for e in want if e[0] in some and e[1] in some]
+
+
+def test_search_holds_few_products_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    queries, corpus, widths, best = rng.random((300, 4)), rng.random((5000, 4)), [], dense._best
+    monkeypatch.setattr(dense, "_best", lambda score, chunk, k: widths.append(score.size) or best(score, chunk, k))
+    monkeypatch.setattr(dense, "HELD_PRODUCTS", 30_000)
+    shared = type("Shared", (), {"value": (np.arange(300), queries)})
+    batch = pa.record_batch([pa.array(range(5000)), pa.array(corpus.tolist(), pa.list_(pa.float64()))], ["chunk_id", "embedding"])
+    (out,) = dense._scan(shared, 10)([batch])
+    assert max(widths) <= 30_000 + 300 * 10
+    got = np.sort(np.array(out["chunk_id"]).reshape(300, 10), axis=1)
+    assert (got == np.sort(np.argsort(-np.round(queries @ corpus.T, dense.DIGITS), axis=1, kind="stable")[:, :10], axis=1)).all()
+
+
+def test_relevant_vectors_are_counted_not_listed(spark):
+    rows = retrieval_queries._by_label(spark, SF, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct vec_id" in rows
