@@ -63,3 +63,10 @@ def test_search_holds_few_products_at_a_time(monkeypatch):
 def test_relevant_vectors_are_counted_not_listed(spark):
     rows = retrieval_queries._by_label(spark, SF, 100)._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct vec_id" in rows
+
+
+def test_chunks_are_cut_once(spark, monkeypatch):
+    seen, number = [], adapters.number_rows
+    monkeypatch.setattr(adapters, "number_rows", lambda rows, *rest: seen.append(rows) or number(rows, *rest))
+    adapters.real_chunks(adapters.documents(spark, SF))
+    assert "regexp" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
