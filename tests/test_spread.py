@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from docloom.operators import dense, graph
+from docloom.operators import builds, dense, graph
 from docloom.plans import adapters, retrieval_queries
 from tests.test_oracles import SF
 
@@ -70,3 +70,14 @@ def test_chunks_are_cut_once(spark, monkeypatch):
     monkeypatch.setattr(adapters, "number_rows", lambda rows, *rest: seen.append(rows) or number(rows, *rest))
     adapters.real_chunks(adapters.documents(spark, SF))
     assert "regexp" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_builds_do_not_shuffle_tag_pairs(spark, monkeypatch, tmp_path):
+    plans, write = {}, builds.write_table
+    monkeypatch.setattr(builds, "write_table", lambda df, folder, reset=False: plans.update({folder.rsplit("/", 1)[1]: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, folder, reset))
+    docs = _tagged(spark, [("a", "One", None, "x"), ("b", "Two", None, "x")]).drop("first_chunk_id")
+    chunks = docs.selectExpr("id as chunk_id", "id as document_id", "0 as chunk_index")
+    row = builds.build_graph(spark, docs, chunks, str(tmp_path)).first()
+    # A department, Ann and the group for both; a document applies to the group.
+    assert row.asDict() == {"entities": 5, "relationships": 7}
+    assert "Aggregate" not in plans["relationships"][: plans["relationships"].index("Join Inner")]
